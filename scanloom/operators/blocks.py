@@ -20,15 +20,15 @@ def pair_blocks(df: DataFrame, group: list[str], row_id: Column, sizes: DataFram
     joined rows. Adds ``_part`` (own part), ``_lo`` and ``_hi`` (the block pair).
     Every row is kept; none of the groups is capped.
     """
-    b = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
+    b = F.ceil(F.col("_size") / F.lit(block_rows)).cast("int")
     part = F.pmod(F.xxhash64(row_id), b).cast("int")
-    out = df.join(sizes.select(*group, "n"), group).withColumn("_part", part)
+    out = df.join(sizes.select(*group, F.col("n").alias("_size")), group).withColumn("_part", part)
     other = F.explode(F.sequence(F.lit(0), b - 1))
     return (
         out.select("*", other.alias("_other"))
         .withColumn("_lo", F.least("_part", "_other"))
         .withColumn("_hi", F.greatest("_part", "_other"))
-        .drop("_other", "n")
+        .drop("_other", "_size")
     )
 
 
