@@ -5,20 +5,41 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scanloom.llm.canonical import look_same_pairs
 from scanloom.llm.mixing import mix_sources, reached_shares
+from scanloom.llm.near_duplicates import find_near_duplicates, record_groups, record_pairs
 from scanloom.llm.pieces import split_oversized
+from scanloom.llm.reference_match import map_to_reference
 from scanloom.llm.tokens import encode_column
 from scanloom.session import table
 
 
+SIDES = [("left_id", "rtl_fixed_left"), ("right_id", "rtl_fixed_right")]
+P3 = {"threshold": 0.6, "words": 3}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_pairs(find_near_duplicates(table(spark, sf_dir, "dedup_results"), SIDES, **P3))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_groups(find_near_duplicates(table(spark, sf_dir, "dedup_results"), SIDES, **P3))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions, matches = table(spark, sf_dir, "medical_regions"), table(spark, sf_dir, "matching_results")
     fields = ((regions, "region_no", "text_verbatim"), (regions, "region_no", "normalized_view"), (matches, "result_id", "original_text"))
     return reduce(DataFrame.unionByName, (look_same_pairs(df, key, field) for df, key, field in fields))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = table(spark, sf_dir, "medical_terms")
+    spellings = reduce(DataFrame.unionByName, (terms.select("term_id", F.col(c).alias("spelling")) for c in ("written", "canonical", "latin_name")))
+    return map_to_reference(table(spark, sf_dir, "medication_items"), "item_id", "medication", spellings, "term_id", "spelling")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -36,7 +57,10 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p5_found": p5_found,
+    "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
