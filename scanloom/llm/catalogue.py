@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm.canonical import look_same_pairs
 from scanloom.llm.mixing import mix_sources, reached_shares
+from scanloom.llm.names import same_person_pairs
 from scanloom.llm.near_duplicates import find_near_duplicates, record_groups, record_pairs
 from scanloom.llm.pieces import split_oversized
 from scanloom.llm.reference_match import map_to_reference
@@ -16,6 +17,10 @@ from scanloom.llm.tokens import encode_column
 from scanloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_person_pairs(table(spark, sf_dir, "extracted_fields"), ["patient_name", "doctor_name"], table(spark, sf_dir, "name_forms"))
+
+
 SIDES = [("left_id", "rtl_fixed_left"), ("right_id", "rtl_fixed_right")]
 P3 = {"threshold": 0.6, "words": 3}
 
@@ -57,6 +62,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p5_found": p5_found,
