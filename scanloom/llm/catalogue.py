@@ -13,6 +13,7 @@ from scanloom.llm.names import same_person_pairs
 from scanloom.llm.near_duplicates import find_near_duplicates, record_groups, record_pairs
 from scanloom.llm.pieces import split_oversized
 from scanloom.llm.reference_match import map_to_reference
+from scanloom.llm.scan_repair import find_noise, repair_texts
 from scanloom.llm.tokens import encode_column
 from scanloom.session import table
 
@@ -21,6 +22,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_person_pairs(table(spark, sf_dir, "extracted_fields"), ["patient_name", "doctor_name"], table(spark, sf_dir, "name_forms"))
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recognised texts of both tables: tbl, region_no, page_group, text."""
+    records = table(spark, sf_dir, "region_records").where("kind = 'text'").select(F.lit("region_records").alias("tbl"), "region_no", F.col("scan_id").alias("page_group"), "text")
+    regions = table(spark, sf_dir, "medical_regions").select(F.lit("medical_regions").alias("tbl"), "region_no", F.col("document_id").alias("page_group"), F.col("text_verbatim").alias("text"))
+    return records.unionByName(regions)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_noise(page_texts(spark, sf_dir))
+
+
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_texts(page_texts(spark, sf_dir))
+
+
 SIDES = [("left_id", "rtl_fixed_left"), ("right_id", "rtl_fixed_right")]
 P3 = {"threshold": 0.6, "words": 3}
 
@@ -63,6 +79,8 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_texts": p2_texts,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p5_found": p5_found,
