@@ -11,6 +11,7 @@ from scanloom.llm.canonical import look_same_pairs
 from scanloom.llm.mixing import mix_sources, reached_shares
 from scanloom.llm.names import same_person_pairs
 from scanloom.llm.near_duplicates import find_near_duplicates, record_groups, record_pairs
+from scanloom.llm.personal_data import find_personal_data, mask_personal_data
 from scanloom.llm.pieces import split_oversized
 from scanloom.llm.reference_match import map_to_reference
 from scanloom.llm.scan_repair import find_noise, repair_texts
@@ -49,6 +50,14 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_groups(find_near_duplicates(table(spark, sf_dir, "dedup_results"), SIDES, **P3))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(page_texts(spark, sf_dir))
+
+
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_personal_data(page_texts(spark, sf_dir)).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions, matches = table(spark, sf_dir, "medical_regions"), table(spark, sf_dir, "matching_results")
     fields = ((regions, "region_no", "text_verbatim"), (regions, "region_no", "normalized_view"), (matches, "result_id", "original_text"))
@@ -83,6 +92,8 @@ QUERIES = {
     "p2_texts": p2_texts,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p4_found": p4_found,
+    "p4_texts": p4_texts,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
