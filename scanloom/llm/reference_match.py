@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.session import materialise
+
 #: Candidates share at least this Jaccard similarity of character pairs.
 MIN_JACCARD = 0.3
 #: A value farther from every entry than this share of its length is on no entry.
@@ -116,7 +118,7 @@ def _ordered(side: DataFrame, rarity: DataFrame) -> DataFrame:
 
 
 def jaccard_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(``l``, ``r``, ``jaccard``) of the pairs of (id, tokens) rows that reach ``threshold``; exact.
+    """(``l``, ``r``, ``jaccard``, ``common``, ``nl``, ``nr``) of the pairs of (id, tokens) rows that reach ``threshold``; exact.
 
     Two sets that do share a token within their first n - ceil(t n) + 1 ones,
     counted from the rarest; what may follow the shared place must suffice.
@@ -135,7 +137,8 @@ def jaccard_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     found = prefix(a, "l").join(prefix(b, "r"), "t").where(fits).select("l", "r").distinct()
     both = found.join(a.select(F.col("id").alias("l"), F.col("tokens").alias("tl")), "l").join(b.select(F.col("id").alias("r"), F.col("tokens").alias("tr")), "r")
     common = F.size(F.array_intersect("tl", "tr"))
-    return both.select("l", "r", (common / (F.size("tl") + F.size("tr") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    both = both.select("l", "r", common.alias("common"), F.size("tl").alias("nl"), F.size("tr").alias("nr"))
+    return both.withColumn("jaccard", F.col("common") / (F.col("nl") + F.col("nr") - F.col("common"))).where(F.col("jaccard") >= threshold)
 
 
 def map_to_reference(
@@ -151,10 +154,10 @@ def map_to_reference(
     then the smaller number is taken. Each different form is matched once.
     """
     items = df.select(F.col(key), F.col(value).cast("string").alias("_v")).where("_v is not null").distinct()
-    items = with_form(items, "_v").where(r"_v rlike '[^\\s\\u00a0\\u200b-\\u200f\\u2060\\ufeff]'")
+    items = materialise(with_form(items, "_v").where(r"_v rlike '[^\\s\\u00a0\\u200b-\\u200f\\u2060\\ufeff]'"))
     forms = items.select("form", "short").distinct().withColumn("id", F.struct("form", "short"))
     spelled = reference.select(F.col(entry).cast("int").alias("e"), F.trim(F.col(spelling).cast("string")).alias("s")).where("s is not null and s != '' and e is not null").distinct()
-    entries = with_form(spelled, "s").where("form != ''").select("form", "e").distinct().groupBy("form").agg(F.min("e").alias("e"))
+    entries = materialise(with_form(spelled, "s").where("form != ''").groupBy("form").agg(F.min("e").alias("e")))
 
     probes = forms.where("form != ''").select("id", character_pairs(F.col("form"), F.col("short")).alias("tokens"))
     known = entries.select(F.struct("form", F.lit(False).alias("short")).alias("id"), character_pairs(F.col("form"), F.lit(False)).alias("tokens"))
@@ -164,6 +167,12 @@ def map_to_reference(
     def far(form: pd.Series, short: pd.Series, other: pd.Series) -> pd.Series:
         return pd.Series([distance(a, s, b) for a, s, b in zip(form, short, other)])
 
+    # One edit undoes at most three of a side's pairs, which rules out most before edits are counted.
+    size = F.greatest(F.length("l.form"), F.length("r.form"))
+    lost = 3 * F.floor(F.lit(max_distance + 1e-9) * size)
+    near = near.where(F.col("common") >= F.when(F.col("l.short"), F.col("nl")).otherwise(F.greatest("nl", "nr")) - lost)
+    # Few bytes but much work: spread by number, not by size.
+    near = near.repartition(4 * max(1, df.sparkSession.sparkContext.defaultParallelism))
     ranked = near.withColumn("d", far("l.form", "l.short", "r.form")).where((F.col("d") <= max_distance) & ((F.length("l.form") >= MIN_LETTERS) | (F.col("d") == 0)))
     ranked = ranked.join(entries.withColumnRenamed("form", "_form"), F.col("r.form") == F.col("_form"))
     best = ranked.groupBy("l").agg(F.min(F.struct("d", (-F.col("jaccard")).alias("j"), "e")).alias("b")).select(F.col("l.form").alias("form"), F.col("l.short").alias("short"), F.col("b.e").alias("e"))
