@@ -1 +1 @@
-""""""
+"""Column functions: text rules, normalisers, extraction, metrics."""
