@@ -8,11 +8,10 @@ meet. Candidates are then verified exactly.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.functions.patterns import let
 from scanloom.operators.blocks import BLOCK_ROWS, meets, pair_blocks
 from scanloom.session import materialise
 
@@ -21,16 +20,20 @@ WHITE_SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0  -     　]+"
 
 
 def word_runs(text: Column, words: int) -> Column:
-    """The set of all runs of ``words`` consecutive words of a lower-cased text, as 64-bit hashes.
+    """The set of all runs of ``words`` consecutive words of a lower-cased text, as sorted 64-bit hashes.
 
     Null for a null text; empty for a text of fewer words.
     """
-    w = F.filter(F.split(F.lower(text), WHITE_SPACE), lambda x: x != "")
 
-    def run(i: Column) -> Column:
-        return F.xxhash64(*(F.element_at("_w", i + k) for k in range(words)))
+    def runs(w: Column) -> Column:
+        def run(i: Column) -> Column:
+            return F.xxhash64(*(F.element_at(w, i + k) for k in range(words)))
+
+        some = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (words - 1)), run))
+        return F.when(F.size(w) < words, F.array().cast("array<bigint>")).otherwise(F.array_sort(some))
 
-    return w, F.when(F.size("_w") < words, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - (words - 1)), run)))
+    # The words are split once, not once for each run.
+    return let(F.filter(F.split(F.lower(text), WHITE_SPACE), lambda x: x != ""), runs)
 
 
 def record_sets(df: DataFrame, sides: list[tuple[str, str]], words: int) -> DataFrame:
@@ -44,9 +47,9 @@ def record_sets(df: DataFrame, sides: list[tuple[str, str]], words: int) -> Data
     for key, text in sides:
         one = df.select(F.col(key).cast("bigint").alias("record"), F.col(text).cast("string").alias("t")).where("record is not null and t is not null")
         rows = one if rows is None else rows.unionByName(one)
-    w, runs = word_runs(F.col("t"), words)
-    sets = rows.groupBy("record").agg(F.min("t").alias("t")).withColumn("_w", w).select("record", F.array_sort(runs).alias("runs"))
-    return sets.where("size(runs) > 0").select("record", F.sha2(F.to_json("runs"), 256).alias("sig"), F.size("runs").alias("n"), "runs")
+    texts = rows.groupBy("record").agg(F.min("t").alias("t")).where(F.size(F.split(F.trim("t"), WHITE_SPACE)) >= words)
+    sets = texts.select("record", word_runs(F.col("t"), words).alias("runs"))
+    return sets.select("record", F.sha2(F.to_json("runs"), 256).alias("sig"), F.size("runs").alias("n"), "runs")
 
 
 def size_boundary(prefixes: DataFrame, threshold: float) -> int:
@@ -135,7 +138,7 @@ def find_near_duplicates(df: DataFrame, sides: list[tuple[str, str]], threshold:
 
     Texts of fewer than ``words`` words have no run and are similar to none.
     """
-    records = materialise(record_sets(df, sides, words))
+    records = materialise(record_sets(df, sides, words)).where("n > 0")
     classes = records.groupBy("sig").agg(F.min("record").alias("sid"))
     members = materialise(records.select("record", "sig").join(classes, "sig").select("record", "sid"))
     sets = records.join(classes.select(F.col("sid").alias("record")), "record", "left_semi").select(F.col("record").alias("sid"), "n", "runs")
