@@ -45,6 +45,10 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+# Kept apart from the expressions around them, in whose array functions Python can't run.
+_nfkc, _nfc = _nfkc.asNondeterministic(), _nfc.asNondeterministic()
+
+
 def nfc(c: Column) -> Column:
     return _nfc(c)
 
@@ -106,6 +110,9 @@ def _merged(s: pd.Series) -> pd.Series:
     return s.map(merge_lines, na_action="ignore")
 
 
+_merged = _merged.asNondeterministic()
+
+
 def merge_paragraphs(c: Column) -> Column:
     """Broken lines of a paragraph merged."""
     return _merged(c)

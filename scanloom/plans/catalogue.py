@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from scanloom.plans import packed, rules
+from scanloom.plans import benchmarks, layout, packed, rules
 
-MODULES = (packed, rules)
+MODULES = (packed, rules, benchmarks, layout)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
