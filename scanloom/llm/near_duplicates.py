@@ -1,6 +1,6 @@
 """Groups of records whose texts share most of their word runs.
 
-A size-aware set-similarity join. Sets below a size boundary enumerate the
+A size-aware set-similarity join. Sets below a size boundary enumerate
 two-element subsets of their prefixes; sets above it scan inverted lists of
 single elements. The boundary is where the two costs, counted on the data,
 meet. Candidates are then verified exactly.
@@ -52,18 +52,24 @@ def record_sets(df: DataFrame, sides: list[tuple[str, str]], words: int) -> Data
     return sets.select("record", F.sha2(F.to_json("runs"), 256).alias("sig"), F.size("runs").alias("n"), "runs")
 
 
-def size_boundary(prefixes: DataFrame, threshold: float) -> int:
+#: Shuffling a subset counts as this many looks at an entry of a list.
+SUBSET_COST = 6
+#: Elements are coloured by hash; two sets that share one element more than there are colours share two of one colour.
+COLOURS = 6
+
+
+def size_boundary(entries: DataFrame) -> int:
     """Sets smaller than this enumerate subsets, others scan lists; the cheapest split by cost.
 
-    The costs are summed by set size, so what reaches the driver is one row a size.
+    ``entries`` has sid, n and, for each element of a prefix, the length of the
+    list to scan (0 beyond the shorter prefix). The costs are summed by set
+    size, so what reaches the driver is one row a size.
     """
-    cost = prefixes.groupBy("n").agg(
-        F.sum(F.aggregate(F.filter("prefix", lambda e: e["pos"] <= F.col("reach")), F.lit(0).cast("bigint"), lambda a, e: a + e["df"])).alias("scan"),
-        F.sum(F.size("prefix").cast("bigint") * (F.size("prefix") - 1) / 2).alias("subsets"),
-    )
-    rows = sorted((r["n"], r["scan"] or 0, r["subsets"] or 0) for r in cost.collect())
-    best, at, value = 0, 0, sum(scan for _, scan, _ in rows)
-    best = value
+    part = entries.groupBy("sid", "n", "colour").agg(F.sum("scan").alias("scan"), F.count("*").alias("m"))
+    cost = part.groupBy("n").agg(F.sum("scan").alias("scan"), (F.sum(F.col("m") * (F.col("m") - 1)) / 2 * SUBSET_COST).alias("subsets"))
+    rows = sorted((r["n"], r["scan"], r["subsets"]) for r in cost.collect())
+    value = best = sum(scan for _, scan, _ in rows)
+    at = 0
     for n, scan, subsets in rows:
         value += subsets - scan
         if value < best:
@@ -73,36 +79,43 @@ def size_boundary(prefixes: DataFrame, threshold: float) -> int:
 
 def _grouped(entries: DataFrame, block_rows: int) -> DataFrame:
     """Entries with their list's blocks; lists of one entry are dropped."""
-    sizes = entries.groupBy("h").agg(F.count("*").alias("n_list"), F.max("large").alias("any_large"))
-    sizes = sizes.where("n_list > 1")
-    return pair_blocks(entries, ["h"], F.col("sid"), sizes.select("h", F.col("n_list").alias("n")), block_rows)
+    sizes = entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return pair_blocks(entries, ["h"], F.col("sid"), sizes, block_rows)
 
 
 def similar_sets(sets: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(``a``, ``b``, ``similarity``): pairs of different sets, a < b, with a Jaccard similarity of at least ``threshold``.
 
     ``sets`` has ``sid`` (bigint), ``n`` and ``runs``, one row for each different
-    set. Exact: elements are ordered from rare to frequent; two sets that are
+    set. Exact: elements are ordered from rare to frequent. Two sets that are
     similar enough share one element of their prefixes of n - ceil(t n) + 1
-    elements, and two of those one longer. Elements of a single set can't be
-    shared and are only counted. Lists of any length are joined in blocks.
+    elements, and k of prefixes longer by k - 1. Light sets enumerate the
+    two-element subsets of one colour of the longer prefix, which catches every
+    pair by the pigeonhole principle; heavy sets, and those too small for it,
+    scan the lists of the short prefix. Elements that a single set or prefix
+    holds can't be shared and are only counted. Lists of any length are joined
+    in blocks.
     """
     exploded = sets.select("sid", "n", F.explode("runs").alias("h"))
     shared = exploded.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     own = exploded.join(shared, "h").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("e"))
     reach = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1).cast("int")
-    entries = own.withColumn("reach", reach).withColumn("alone", F.col("n") - F.size("e"))
-    ranked = F.transform("e", lambda x, i: F.struct((F.col("alone") + i + 1).alias("pos"), x["df"].alias("df"), x["h"].alias("h")))
-    prefixes = materialise(
-        entries.withColumn("prefix", F.slice(ranked, F.lit(1), F.greatest(F.lit(0), F.col("reach") + 1 - F.col("alone")))).where("size(prefix) > 0 and n > 1").select("sid", "n", "reach", "prefix")
-    )
-    boundary = size_boundary(prefixes, threshold)
-    marked = prefixes.withColumn("large", F.col("n") >= boundary)
-
-    single = marked.select("sid", "n", "large", F.explode(F.filter("prefix", lambda e: e["pos"] <= F.col("reach"))).alias("x")).select("sid", "n", "large", F.col("x.h").alias("h"), F.col("x.pos").alias("pos"))
-    lists = _grouped(single, block_rows)
-    pair = F.transform("prefix", lambda x, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda y: F.xxhash64(x["h"], y["h"])))
-    subsets = _grouped(marked.where("not large").select("sid", "n", "large", F.explode(F.flatten(pair)).alias("h")), block_rows)
+    prefix = own.where("n > 1").withColumn("reach", reach).withColumn("alone", F.col("n") - F.size("e"))
+    prefix = prefix.select("sid", "n", "reach", "alone", F.posexplode(F.slice("e", F.lit(1), F.greatest(F.lit(0), F.col("reach") + COLOURS - F.col("alone")))).alias("i", "x"))
+    prefix = materialise(prefix.select("sid", "n", "reach", (F.col("alone") + F.col("i") + 1).alias("pos"), F.col("x.h").alias("h")))
+    lists = prefix.groupBy("h").agg(F.count("*").alias("n2"), F.count_if(F.col("pos") <= F.col("reach")).alias("n1")).where("n2 > 1")
+    entries = materialise(prefix.join(lists, "h").withColumn("scan", F.when(F.col("pos") <= F.col("reach"), F.col("n1")).otherwise(0)).withColumn("colour", F.pmod(F.xxhash64("h"), F.lit(COLOURS)).cast("int")))
+    boundary = size_boundary(entries)
+    # Fewer shared elements than colours are no basis for subsets.
+    marked = entries.withColumn("large", (F.col("n") >= boundary) | (F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) <= COLOURS))
+
+    single = marked.where("pos <= reach and n1 > 1").select("sid", "n", "large", "h", "pos")
+    # Lists without a large set are covered by the subsets.
+    some = single.where("large").select("h").distinct()
+    lists = _grouped(single.join(some, "h", "left_semi"), block_rows)
+    small = marked.where("not large").groupBy("sid", "n", "large", "colour").agg(F.array_sort(F.collect_list("h")).alias("p"))
+    pair = F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(x, y)))
+    subsets = _grouped(small.select("sid", "n", "large", F.explode(F.flatten(pair)).alias("h")), block_rows)
 
     sized = (F.least("n", "n2") >= F.lit(threshold) * F.greatest("n", "n2") - 1e-9) & (F.col("a") < F.col("b"))
 
