@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:
@@ -149,28 +150,35 @@ def group_lines(boxes: DataFrame, page: str, rtl: bool = True, overlap: float =
     words from the reading side. The order decides, so a page is one group.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y_min", "x_min"], kind="stable")
+    places = StructType([StructField("line_index", IntegerType()), StructField("word_index", IntegerType())])
+
+    def fold(top: list, left: list, bottom: list) -> list[dict]:
         lines: list[list] = []
-        for i, top, bottom in zip(rows.index, rows["y_min"], rows["y_max"]):
+        for i in sorted(range(len(top)), key=lambda i: (top[i], left[i])):
             for line in lines:
-                height = min(bottom - top, line[1] - line[0])
-                shared = min(bottom, line[1]) - max(top, line[0])
-                if (shared / height >= overlap) if height > 0 else abs(top - line[0]) < 10:
-                    line[0], line[1] = min(line[0], top), max(line[1], bottom)
+                height = min(bottom[i] - top[i], line[1] - line[0])
+                shared = min(bottom[i], line[1]) - max(top[i], line[0])
+                if (shared / height >= overlap) if height > 0 else abs(top[i] - line[0]) < 10:
+                    line[0], line[1] = min(line[0], top[i]), max(line[1], bottom[i])
                     line[2].append(i)
                     break
             else:
-                lines.append([top, bottom, [i]])
-        rows = rows.copy()
-        rows["line_index"] = rows["word_index"] = 0
+                lines.append([top[i], bottom[i], [i]])
+        out: list[dict] = [{}] * len(top)
         for k, line in enumerate(sorted(lines, key=lambda v: v[0])):
-            for j, i in enumerate(sorted(line[2], key=lambda i: -rows.at[i, "x_min"] if rtl else rows.at[i, "x_min"])):
-                rows.loc[i, ["line_index", "word_index"]] = [k, j]
-        return rows
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema), "line_index int, word_index int"])
-    return boxes.groupBy(page).applyInPandas(fold, schema)
+            for j, i in enumerate(sorted(line[2], key=lambda i: -left[i] if rtl else left[i])):
+                out[i] = {"line_index": k, "word_index": j}
+        return out
+
+    @F.pandas_udf(ArrayType(places))
+    def number(top: pd.Series, left: pd.Series, bottom: pd.Series) -> pd.Series:
+        return pd.Series([fold(list(a), list(b), list(c)) for a, b, c in zip(top, left, bottom)])
+
+    gathered = boxes.groupBy(page).agg(F.collect_list(F.struct(*boxes.columns)).alias("_b"))
+    of = lambda c: F.transform("_b", lambda b: b[c].cast("double"))
+    placed = gathered.select("_b", number(of("y_min"), of("x_min"), of("y_max")).alias("_p"))
+    each = placed.select(F.explode(F.arrays_zip("_b", "_p")).alias("z"))
+    return each.select("z._b.*", "z._p.line_index", "z._p.word_index")
 
 
 def clip_box(x: Column, y: Column, w: Column, h: Column, width: int, height: int, pad: int = 0) -> Column:

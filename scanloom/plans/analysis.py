@@ -307,7 +307,7 @@ SQL = {
     "words_corrected": f"SELECT result_id, array_to_string(list_transform(string_split(ref, ' '), lambda x: CASE lower(x) WHEN 'patient' THEN 'PATIENT' WHEN 'right' THEN 'left' ELSE x END), ' ') AS out, replace(replace(ref, 'the ', 'a '), 'mg', 'milligram') AS replaced, CAST(contains(ref, 'the ') AS INTEGER) + CAST(contains(replace(ref, 'the ', 'a '), 'mg') AS INTEGER) AS hits FROM {PAIRS}",
     "rtl_reversal_ratio": f"SELECT result_id, {_rr('ref')} AS as_is, {_rr('reverse(ref)')} AS reversed FROM {PAIRS}",
     "cer_pairs": f"SELECT result_id, {_e} AS edits, length({_a}) AS n, round(CASE WHEN length({_a}) > 0 THEN {_e} * 1.0 / length({_a}) WHEN length({_b}) > 0 THEN 1.0 ELSE 0.0 END, 6) AS cer FROM {PAIRS}",
-    "wer_pairs": f"WITH p AS (SELECT *, {_vocab} AS v FROM {PAIRS}), e AS (SELECT result_id, levenshtein({_code('ref')}, {_code('hyp')}) AS edits, len({sql.words('ref')}) AS n FROM p) SELECT result_id, edits, n, round(edits * 1.0 / n, 6) AS wer FROM e",
+    "wer_pairs": f"WITH p AS (SELECT *, {_vocab} AS v FROM {PAIRS}), e AS (SELECT result_id, levenshtein({_code('ref')}, {_code('hyp')}) AS edits, len({sql.words('ref')}) AS n FROM p) SELECT result_id, edits, n, round(CASE WHEN n > 0 THEN edits * 1.0 / n WHEN edits > 0 THEN 1.0 ELSE 0.0 END, 6) AS wer FROM e",
     "char_wer_legacy": f"WITH w AS (SELECT result_id, {sql.words(_a)} AS r, {sql.words(_b)} AS h FROM {PAIRS}) SELECT result_id, round(CASE WHEN len(r) > 0 THEN levenshtein(array_to_string(r, ' '), array_to_string(h, ' ')) * 1.0 / len(r) WHEN len(h) > 0 THEN 1.0 ELSE 0.0 END, 6) AS wer FROM w",
     "digit_guardrail": f"WITH p AS (SELECT result_id, ref, replace(hyp, '7', '1') AS h FROM {PAIRS}), d AS (SELECT *, regexp_extract_all(ref, '\\p{{Nd}}+') = regexp_extract_all(h, '\\p{{Nd}}+') AS ok FROM p) SELECT result_id, CASE WHEN NOT ok THEN 'NUMERICAL_DRIFT_DETECTED' END AS flag, md5(CASE WHEN ok THEN h ELSE ref END) AS md5 FROM d",
     "text_validity": f"WITH r AS (SELECT DISTINCT region_no, {sql.strip('text')} AS t FROM region_records WHERE text IS NOT NULL) SELECT region_no, round(CASE WHEN length(t) > 0 THEN length({_rep('t', f'[^{chr(92)}p{{L}}{SPACE}؀-ۿ]', '')}) * 1.0 / length(t) ELSE 0.0 END, 6) AS validity FROM r",
