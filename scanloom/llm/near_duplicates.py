@@ -40,12 +40,12 @@ def record_sets(df: DataFrame, sides: list[tuple[str, str]], words: int) -> Data
     """(``record``, ``sig``, ``n``, ``runs``) of each record of the (id column, text column) sides that has a run.
 
     A record that stands in several rows counts once; should its texts differ,
-    the smallest by code point is taken. Null ids and null texts are left out.
+    the smallest by code point is taken. Null ids and null or empty texts are left out.
     ``sig`` identifies the set.
     """
     rows = None
     for key, text in sides:
-        one = df.select(F.col(key).cast("bigint").alias("record"), F.col(text).cast("string").alias("t")).where("record is not null and t is not null")
+        one = df.select(F.col(key).cast("bigint").alias("record"), F.col(text).cast("string").alias("t")).where("record is not null and t != ''")
         rows = one if rows is None else rows.unionByName(one)
     texts = rows.groupBy("record").agg(F.min("t").alias("t")).where(F.size(F.split(F.trim("t"), WHITE_SPACE)) >= words)
     sets = texts.select("record", word_runs(F.col("t"), words).alias("runs"))
@@ -77,6 +77,20 @@ def size_boundary(entries: DataFrame) -> int:
     return at
 
 
+#: Words of 64 bits in the bitmap of a set.
+BITMAP_WORDS = 3
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(sid, ``bits``): a bit for each element by hash, as an array of longs.
+
+    Two sets differ in at least as many elements as their bitmaps do in bits, so
+    a pair whose bitmaps differ too much can be dropped without its elements.
+    """
+    word = "aggregate(runs, 0L, (a, x) -> if(pmod(shiftright(x, 8), {n}) = {k}, a | shiftleft(1L, cast(x & 63 as int)), a))"
+    return sets.select("sid", F.array(*(F.expr(word.format(n=BITMAP_WORDS, k=k)) for k in range(BITMAP_WORDS))).alias("bits"))
+
+
 def _grouped(entries: DataFrame, block_rows: int) -> DataFrame:
     """Entries with their list's blocks; lists of one entry are dropped."""
     sizes = entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
@@ -112,23 +126,27 @@ def similar_sets(sets: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS
     single = marked.where("pos <= reach and n1 > 1").select("sid", "n", "large", "h", "pos")
     # Lists without a large set are covered by the subsets.
     some = single.where("large").select("h").distinct()
-    lists = _grouped(single.join(some, "h", "left_semi"), block_rows)
+    maps = materialise(bitmaps(sets))
+    lists = _grouped(single.join(some, "h", "left_semi").join(maps, "sid"), block_rows)
     small = marked.where("not large").groupBy("sid", "n", "large", "colour").agg(F.array_sort(F.collect_list("h")).alias("p"))
     pair = F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(x, y)))
-    subsets = _grouped(small.select("sid", "n", "large", F.explode(F.flatten(pair)).alias("h")), block_rows)
+    subsets = _grouped(small.join(maps, "sid").select("sid", "n", "large", "bits", F.explode(F.flatten(pair)).alias("h")), block_rows)
 
-    sized = (F.least("n", "n2") >= F.lit(threshold) * F.greatest("n", "n2") - 1e-9) & (F.col("a") < F.col("b"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9)
+    differing = F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits2")[0]))
+    for k in range(1, BITMAP_WORDS):
+        differing = differing + F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k]))
+    sized = (F.least("n", "n2") >= F.lit(threshold) * F.greatest("n", "n2") - 1e-9) & (F.col("a") < F.col("b")) & (differing <= F.col("n") + F.col("n2") - 2 * need)
 
     def joined(rows: DataFrame, extra: Column | None = None, with_pos: bool = False) -> DataFrame:
         cols = ["pos"] if with_pos else []
-        left = rows.select("h", "_lo", "_hi", F.col("sid").alias("a"), "n", "large", F.col("_part").alias("p"), *cols)
-        right = rows.select("h", "_lo", "_hi", F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("large").alias("large2"), F.col("_part").alias("p2"), *(F.col(c).alias(f"{c}2") for c in cols))
+        left = rows.select("h", "_lo", "_hi", F.col("sid").alias("a"), "n", "large", "bits", F.col("_part").alias("p"), *cols)
+        right = rows.select("h", "_lo", "_hi", F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("large").alias("large2"), F.col("bits").alias("bits2"), F.col("_part").alias("p2"), *(F.col(c).alias(f"{c}2") for c in cols))
         both = left.join(right, ["h", "_lo", "_hi"]).where(sized & meets(F.col("p"), F.col("p2"), F.col("_lo"), F.col("_hi")))
         return (both if extra is None else both.where(extra)).select("a", "b")
 
     # With the shared element at these positions, no more than this many can be shared.
     most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) + F.least("pos", "pos2")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9)
     by_list = joined(lists, (F.col("large") | F.col("large2")) & (most >= need), with_pos=True)
     candidates = by_list.unionByName(joined(subsets)).distinct()
 

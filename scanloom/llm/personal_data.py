@@ -261,7 +261,7 @@ def fitted_finder(texts: DataFrame, fit_texts: int = FIT_TEXTS) -> Finder:
     some = texts.where(F.col("text").rlike(r"[@\d]|باسم|قريب|السيد|الدكتور|Nurse|phoned|carer"))
     # Rows of small hash values are cut out first, so that little more than the sample itself is gathered.
     share = min(1.0, 1.5 * fit_texts / max(1, some.count()))
-    hashed = some.select("text", F.xxhash64("text").alias("h")).where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)))
+    hashed = some.select("text", F.xxhash64("text").alias("h")).where(F.col("h") <= min(2**63 - 1, int(share * 2**64) - 2**63))
     sample = hashed.orderBy("h", "text").limit(fit_texts).select("text").collect()
     return Finder.fit([r["text"] for r in sample], known)
 
