@@ -14,9 +14,9 @@ from scanloom.functions.patterns import SPACE, WORD, let, strip, words
 from scanloom.functions.text_rules import nfc
 
 # Fixed values of the normalisers.
-SIGNS_BASIC = "ؗ-ًؚ-ْ"
-SIGNS_V1 = "ً-ٰٟ"
-SIGNS_CI = "ؐ-ًؚ-ٰٟۖ-ۜ۟-۪ۨ-ۭ"
+SIGNS_BASIC = "\u0617-\u061a\u064b-\u0652"
+SIGNS_V1 = "\u064b-\u065f\u0670"
+SIGNS_CI = "\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e4\u06e7\u06e8\u06ea-\u06ed"
 EXTENDED_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 ARABIC_BLOCKS = "؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"
@@ -132,7 +132,7 @@ def replaced_substrings(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 _DOSE = re.compile(rf"(?<![\w.])(?:\d+(?:[.,]\d+)?|[٠-٩]+(?:[.,][٠-٩]+)?)[  ]?{UNITS}(?!\w)", re.I)
 _VIEW = (
-    ("remove_diacritics", re.compile("[ً-ٰٟ]"), ""), ("unify_alef", re.compile("[أإآٱ]"), "ا"), ("unify_alef_maqsura", re.compile("ى"), "ي"), ("remove_tatweel", re.compile("ـ+"), ""),
+    ("remove_diacritics", re.compile("[\u064b-\u065f\u0670]"), ""), ("unify_alef", re.compile("[أإآٱ]"), "ا"), ("unify_alef_maqsura", re.compile("ى"), "ي"), ("remove_tatweel", re.compile("ـ+"), ""),
     ("unify_arabic_digits", re.compile("[٠-٩]"), lambda m: str(ord(m[0]) - 0x660)), ("unify_taa_marbuta", re.compile("ة"), "ه"),
 )
 _CHANGES = StructType([StructField("text", StringType()), StructField("changes", ArrayType(StructType([StructField("rule", StringType()), StructField("cnt", IntegerType())])))])

@@ -19,7 +19,7 @@ from scanloom.functions.patterns import SPACE, WORD, let, lines, strip, words
 
 # Fixed values of the rules.
 CONTROL = "​-‏‪-‮﻿"
-DIACRITICS = "ً-ْ"
+DIACRITICS = "\u064b-\u0652"
 PUNCTUATION_FROM, PUNCTUATION_TO = "‚„“”‘’«»", ",\"\"\"''\"\""
 QUOTES_FROM, QUOTES_TO = "“”„«»‘’‚", "\"\"\"\"\"'''"
 LAM_ALEF = {"ﻻ": "لا", "ﻷ": "لأ", "ﻹ": "لإ", "ﺁ": "آ"}
