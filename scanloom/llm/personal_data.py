@@ -56,7 +56,6 @@ _CALLED = re.compile(r"phoned|asked\s+for|rang\b|called\b")
 _ARABIC_TAIL = re.compile(r"[ء-ي1ـ٥]+(?:\s+[ء-ي1ـ٥]+){1,3}\s+\Z")
 _ARABIC_WORD = re.compile(r"[ء-ي1ـ٥]+")
 _WORD = re.compile(r"[\w@|]+")
-_TRIGGER = re.compile(r"[@\d]|\(at\)|\[at\]|[A-Z]\w+,?\s+[A-Z]|باسم|قريب|السيد|الدكتور|Nurse|daughter|phoned|carer", re.I)
 
 
 def propose(text: str) -> list[tuple[int, int, str]]:
@@ -224,8 +223,6 @@ class Finder:
         features: dict[str, list] = {k: [] for k in TYPES}
         at: dict[str, list[int]] = {k: [] for k in TYPES}
         for i, text in enumerate(texts):
-            if not _TRIGGER.search(text):
-                continue
             for start, end, kind in propose(text):
                 at[kind].append(len(spans))
                 spans.append((i, start, end, kind))

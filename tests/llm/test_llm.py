@@ -13,7 +13,7 @@ from scanloom.llm.bpe import CorpusEncoder, MergeTransducer, StreamDecoder, load
 from scanloom.llm.canonical import ConflictError, Transducer, look_same_pairs, mapping, with_canonical
 from scanloom.llm.mixing import bisect_exponent, mix_sources, plan_mix, reached_shares, temperature_shares
 from scanloom.llm.names import Trie, parse_name, same_person_pairs
-from scanloom.llm.personal_data import find_personal_data, mask_personal_data
+from scanloom.llm.personal_data import TYPES, Finder, find_personal_data, mask_personal_data, propose
 from scanloom.llm.pieces import split_oversized
 from scanloom.llm.reference_match import edits, jaccard_join, map_to_reference, name_form
 from scanloom.llm.scan_repair import LineModel, find_noise, head_key, page_symbol, repair_texts
@@ -276,6 +276,20 @@ def test_personal_data(spark):
     assert masked[5].startswith("Plan: rest today. Mobile: [PHONE]. SSN [ID_NUMBER] copied") and masked[998] is None and masked[999] == ""
 
 
+class Certain:
+    """Stands for fitted trees: every span is one."""
+
+    threshold = 0.5
+
+    def probability(self, x):
+        return np.ones(len(x))
+
+
+@pytest.mark.parametrize("text", ["التوقيع: أحمد ميعسيتثيق.", "Signed: أحمد ميعسيتثيق", "his wife أحمد ميعسيتثيق", "أحمد ميعسيتثيق rang", "a.b [at] c.org", "Ann Lee"])
+def test_no_text_with_a_proposal_is_skipped(text):
+    assert propose(text) and Finder(frozenset(), dict.fromkeys(TYPES, Certain())).find([text])[0]
+
+
 # --- mixing ----------------------------------------------------------------
 
 
