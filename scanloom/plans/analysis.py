@@ -26,6 +26,12 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("result_id", F.col("original_text").alias("ref"), F.col("matching_text").alias("hyp")).distinct()
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """result_id, ref: the text of every matching result that has one, with or without a matching form."""
+    m = table(spark, sf_dir, "matching_results").where("original_text is not null")
+    return m.select("result_id", F.col("original_text").alias("ref")).distinct()
+
+
 PAIRS = "(SELECT DISTINCT result_id, original_text AS ref, matching_text AS hyp FROM matching_results WHERE original_text IS NOT NULL AND matching_text IS NOT NULL)"
 ASCII = "[^ -~]"
 
@@ -35,42 +41,42 @@ def _ascii(c: str):
 
 
 def normalize_basic(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("result_id", N.basic(F.col("ref")).alias("out"))
+    return _texts(spark, sf_dir).select("result_id", N.basic(F.col("ref")).alias("out"))
 
 
 def normalize_strong(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("result_id", N.strong(F.col("ref")).alias("out"))
+    return _texts(spark, sf_dir).select("result_id", N.strong(F.col("ref")).alias("out"))
 
 
 def normalize_v1(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("result_id", N.version_1(F.col("ref"), True).alias("out"))
+    return _texts(spark, sf_dir).select("result_id", N.version_1(F.col("ref"), True).alias("out"))
 
 
 def normalize_ci(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
+    p = _texts(spark, sf_dir)
     return p.select("result_id", N.for_ci(F.col("ref")).alias("ci"), N.arabic_for_ci(F.col("ref")).alias("arabic"), F.array_join(N.plain_words(F.col("ref")), "|").alias("words"))
 
 
 def text_cleaned(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("result_id", N.cleaned(F.col("ref")).alias("out"))
+    return _texts(spark, sf_dir).select("result_id", N.cleaned(F.col("ref")).alias("out"))
 
 
 def matching_view_counts(spark, sf_dir):
-    v = _pairs(spark, sf_dir).select("result_id", N.matching_view(F.col("ref"), True).alias("v"))
+    v = _texts(spark, sf_dir).select("result_id", N.matching_view(F.col("ref"), True).alias("v"))
     return v.select("result_id", "v.text", F.col("v.changes").cast("string").alias("changes"))
 
 
 def rtl_reversal_ratio(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
+    p = _texts(spark, sf_dir)
     return p.select("result_id", F.round(N.reversal_ratio(F.col("ref")), 6).alias("as_is"), F.round(N.reversal_ratio(F.reverse("ref")), 6).alias("reversed"))
 
 
 def rtl_fix(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("result_id", N.repair_direction(F.reverse("ref")).alias("out"))
+    return _texts(spark, sf_dir).select("result_id", N.repair_direction(F.reverse("ref")).alias("out"))
 
 
 def words_corrected(spark, sf_dir):
-    p = _pairs(spark, sf_dir).select("result_id", N.corrected_words(F.col("ref"), {"patient": "PATIENT", "right": "left"}).alias("out"), N.replaced_substrings(F.col("ref"), [("the ", "a "), ("mg", "milligram")]).alias("r"))
+    p = _texts(spark, sf_dir).select("result_id", N.corrected_words(F.col("ref"), {"patient": "PATIENT", "right": "left"}).alias("out"), N.replaced_substrings(F.col("ref"), [("the ", "a "), ("mg", "milligram")]).alias("r"))
     return p.select("result_id", "out", F.col("r.text").alias("replaced"), F.col("r.hits").alias("hits"))
 
 

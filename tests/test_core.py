@@ -15,7 +15,7 @@ from scanloom.operators import records as C
 from scanloom.operators.decoding import beam, normalised
 from scanloom.operators.images import otsu, perceptual_hash, sauvola
 from scanloom.operators.routing import best_results, select_engines
-from scanloom.plans import commands
+from scanloom.plans import analysis, commands
 from scanloom.sources import readers, writers
 
 
@@ -198,6 +198,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(r["id"], r["markdown"]) for r in S.cleaned_stream(df.dropDuplicates(["id"]), "t").collect()}
 
 
+ONE_SIDED = ("normalize_basic", "normalize_strong", "normalize_v1", "normalize_ci", "text_cleaned", "matching_view_counts", "rtl_reversal_ratio", "rtl_fix", "words_corrected")
+
+
+def matching_results(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "result_id bigint, original_text string, matching_text string").write.parquet(str(tmp_path / "matching_results.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ONE_SIDED)
+def test_one_sided_queries_take_every_text(spark, tmp_path, name):
+    sf = matching_results(spark, tmp_path, [(1, "ab", "ab"), (2, "the mg", None), (2, "the mg", None), (3, "", None), (4, None, "x")])
+    assert sorted(r["result_id"] for r in analysis.QUERIES[name](spark, sf).collect()) == [1, 2, 3]
+
+
 def test_entry_points_agree():
     import __spark_entry__ as entry
 
