@@ -36,10 +36,6 @@ PAIRS = "(SELECT DISTINCT result_id, original_text AS ref, matching_text AS hyp
 ASCII = "[^ -~]"
 
 
-def _ascii(c: str):
-    return F.regexp_replace(c, ASCII, "")
-
-
 def normalize_basic(spark, sf_dir):
     return _texts(spark, sf_dir).select("result_id", N.basic(F.col("ref")).alias("out"))
 
@@ -81,7 +77,7 @@ def words_corrected(spark, sf_dir):
 
 
 def cer_pairs(spark, sf_dir):
-    p = _pairs(spark, sf_dir).select("result_id", M.cer(_ascii("ref"), _ascii("hyp")).alias("c"))
+    p = _pairs(spark, sf_dir).select("result_id", M.cer(F.col("ref"), F.col("hyp")).alias("c"))
     return p.select("result_id", "c.edits", "c.n", F.round("c.cer", 6).alias("cer"))
 
 
@@ -91,7 +87,7 @@ def wer_pairs(spark, sf_dir):
 
 
 def char_wer_legacy(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("result_id", F.round(M.character_wer(_ascii("ref"), _ascii("hyp")), 6).alias("wer"))
+    return _pairs(spark, sf_dir).select("result_id", F.round(M.character_wer(F.col("ref"), F.col("hyp")), 6).alias("wer"))
 
 
 def sdi_breakdown(spark, sf_dir):
@@ -217,9 +213,10 @@ def vector_topk(spark, sf_dir):
 
 
 def glossary_suggestions(spark, sf_dir):
-    w = table(spark, sf_dir, "medication_items").where("medication is not null").select(F.explode(F.split("medication", "[^a-zA-Z]+")).alias("w"))
-    t = table(spark, sf_dir, "medical_terms").where("latin_name is not null").select("latin_name")
-    return C.suggest_terms(w, "w", t, "latin_name")
+    """The nearest Latin or Arabic name of a term for every word of a medication, in whatever script."""
+    w = table(spark, sf_dir, "medication_items").where("medication is not null").select(F.explode(F.split("medication", r"[^\p{L}\p{M}]+")).alias("w"))
+    t = table(spark, sf_dir, "medical_terms").select(F.explode(F.array(F.trim("latin_name"), F.trim("canonical"))).alias("name")).where("name is not null")
+    return C.suggest_terms(w, "w", t, "name")
 
 
 def _frames(spark, sf_dir):

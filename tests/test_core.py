@@ -212,6 +212,32 @@ def test_one_sided_queries_take_every_text(spark, tmp_path, name):
     assert sorted(r["result_id"] for r in analysis.QUERIES[name](spark, sf).collect()) == [1, 2, 3]
 
 
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_error_rates_count_code_points_of_every_script(spark, tmp_path):
+    pairs = [("ضغط الدم ١٢٠", "ضعط الدم ١٢٠٠"), ("café noir", "cafe noir"), ("a😀b", "ab"), ("", "دم"), ("plain", "plane"), ("دم", "")]
+    sf = matching_results(spark, tmp_path, [(i, *p) for i, p in enumerate(pairs)])
+    got = {r["result_id"]: (r["edits"], r["n"], r["cer"]) for r in analysis.cer_pairs(spark, sf).collect()}
+    assert got == {i: (plain_edits(a, b), len(a), round(plain_edits(a, b) / len(a), 6) if a else 1.0) for i, (a, b) in enumerate(pairs)}
+    wer = {r["result_id"]: r["wer"] for r in analysis.char_wer_legacy(spark, sf).collect()}
+    assert wer == {i: round(plain_edits(a, b) / len(a.split()), 6) if a else 1.0 for i, (a, b) in enumerate(pairs)}
+
+
+def test_glossary_suggests_terms_of_every_script(spark, tmp_path):
+    items, terms = ["أموكسيسلين 500 ملغ", "Amoxicilin", "سيبرو٥٠٠", "naïfex", None], [("أموكسيسيلين", "amoxicillin"), ("سيبرو ", None), (None, "naifex")]
+    spark.createDataFrame([(v,) for v in items], "medication string").write.parquet(str(tmp_path / "medication_items.parquet"))
+    spark.createDataFrame(terms, "canonical string, latin_name string").write.parquet(str(tmp_path / "medical_terms.parquet"))
+    got = {r["word"]: (r["term"], r["distance"]) for r in analysis.glossary_suggestions(spark, str(tmp_path)).collect()}
+    assert got == {"أموكسيسلين": ("أموكسيسيلين", 1), "amoxicilin": ("amoxicillin", 1), "سيبرو": ("سيبرو", 0), "naïfex": ("naifex", 1)}
+
+
 def test_entry_points_agree():
     import __spark_entry__ as entry
 
