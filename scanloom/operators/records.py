@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.functions.metrics import indel_ratio, ratio, token_set_ratio
+from scanloom.functions.metrics import hamming, indel_ratio, ratio, token_set_ratio
+from scanloom.operators.blocks import meets, pair_blocks
+from scanloom.session import materialise
 
 # What the fields of a record count for, and what makes two records one patient.
 WEIGHTS = {"patient_name": 0.35, "patient_id": 0.30, "date": 0.15, "diagnosis": 0.10, "medications": 0.05, "template": 0.05}
@@ -94,6 +96,53 @@ def greedy_clusters(df: DataFrame, block: str, order: str, bits: str, threshold:
     return df.groupBy(block).applyInPandas(fold, schema)
 
 
+def hamming_pairs(df: DataFrame, key: str, bits: str, within: int) -> DataFrame:
+    """(``key``, ``other``, ``d``) of the pairs of different keys, smaller first, whose 64-bit hashes differ in at most ``within`` bits.
+
+    Exact: of ``within`` + 1 bands of the hash one at least is equal in both. A
+    pair is made in the first band that they share only, and rows that share a
+    band are compared in blocks.
+    """
+    cuts = [64 * k // (within + 1) for k in range(within + 2)]
+
+    def band(c: Column, k: int) -> Column:
+        return F.shiftrightunsigned(c, 64 - cuts[k + 1]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1 if within else -1).cast("bigint"))
+
+    bands = F.posexplode(F.array(*(band(F.col("_b"), k) for k in range(within + 1))))
+    rows = materialise(df.select(F.col(key).alias("_k"), F.col(bits).alias("_b")).distinct().select("_k", "_b", bands.alias("_band", "_value")))
+    group = ["_band", "_value"]
+    spread = pair_blocks(rows, group, F.col("_k"), rows.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1"))
+    keys = [*group, "_lo", "_hi"]
+    a = spread.select(*keys, F.col("_k").alias(key), F.col("_b").alias("x"), F.col("_part").alias("p"))
+    b = spread.select(*keys, F.col("_k").alias("other"), F.col("_b").alias("y"), F.col("_part").alias("q"))
+    x, y = F.col("x"), F.col("y")
+    first = F.coalesce(*(F.when(band(x, k) == band(y, k), F.lit(k)) for k in range(within + 1)))
+    near = (F.col(key) < F.col("other")) & meets(F.col("p"), F.col("q"), F.col("_lo"), F.col("_hi")) & (hamming(x, y) <= within) & (first == F.col("_band"))
+    return a.join(b, keys).where(near).select(key, "other", hamming(x, y).alias("d"))
+
+
+def greedy_clusters_of_all(df: DataFrame, order: str, bits: str, threshold: int = 5) -> DataFrame:
+    """``greedy_clusters`` over all rows as one block, without sending them to one task.
+
+    A row is a representative where no earlier row within ``threshold`` bits is
+    one. Only such pairs are looked at, in rounds: as many as the longest run of
+    rows that wait for each other.
+    """
+    pairs = materialise(hamming_pairs(df, order, bits, threshold).select(F.col(order).alias("head"), "other", "d"))
+    schema = pairs.select("other").schema
+    heads = df.sparkSession.createDataFrame([], schema)
+    left = pairs.select(F.col("head").alias("other")).union(pairs.select("other")).distinct()
+    while not left.isEmpty():
+        waits = pairs.join(left.withColumnRenamed("other", "head"), "head").select("other").distinct()
+        new = materialise(left.join(waits, "other", "left_anti"))
+        heads = heads.union(new)
+        taken = pairs.join(new.withColumnRenamed("other", "head"), "head").select("other").distinct()
+        left = materialise(left.join(new, "other", "left_anti").join(taken, "other", "left_anti"))
+    near = pairs.join(heads.withColumnRenamed("other", "head"), "head").groupBy("other").agg(F.min(F.struct("d", "head")).alias("_near"))
+    out = df.join(near.withColumnRenamed("other", order), order, "left")
+    return out.withColumns({"cluster": F.coalesce("_near.head", order), "distance": F.coalesce("_near.d", F.lit(0))}).drop("_near")
+
+
 def search(df: DataFrame, key: str, haystack: Column, diagnosis: Column, query: str, k: int) -> DataFrame:
     """The ``k`` rows most like a query: token-set ratio, a bonus where the diagnosis holds it; 0 is left out. A blank query finds nothing."""
     bonus = F.when(F.contains(F.lower(F.coalesce(diagnosis, F.lit(""))), F.lit(query.lower())), 0.05).otherwise(0.0)

@@ -186,19 +186,18 @@ def greedy_dedup(spark, sf_dir):
 
 
 def _hashes(spark, sf_dir):
+    """vec_id, label and the signs of all 64 dimensions; the first is the sign bit of the number."""
     e = table(spark, sf_dir, "embeddings")
-    bits = F.aggregate(F.slice("embedding", 1, 32), F.lit(0).cast("bigint"), lambda a, x: a * 2 + (x > 0).cast("bigint"))
+    bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR((x > 0).cast("bigint")))
     return e.select("vec_id", "label", bits.alias("bits"))
 
 
 def phash_hamming_pairs(spark, sf_dir):
-    h = _hashes(spark, sf_dir)
-    b = h.select(F.col("vec_id").alias("other"), "label", F.col("bits").alias("bits2"))
-    return h.join(b, "label").where("vec_id < other").withColumn("d", M.hamming(F.col("bits"), F.col("bits2"))).where("d <= 5").select("vec_id", "other", "d")
+    return C.hamming_pairs(_hashes(spark, sf_dir), "vec_id", "bits", 5).select("vec_id", "other", "d")
 
 
 def greedy_clusters(spark, sf_dir):
-    return C.greedy_clusters(_hashes(spark, sf_dir), "label", "vec_id", "bits", 8).select("vec_id", "cluster", "distance")
+    return C.greedy_clusters_of_all(_hashes(spark, sf_dir), "vec_id", "bits", 8).select("vec_id", "cluster", "distance")
 
 
 def fuzzy_search_topk(spark, sf_dir):

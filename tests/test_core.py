@@ -238,6 +238,43 @@ def test_glossary_suggests_terms_of_every_script(spark, tmp_path):
     assert got == {"أموكسيسلين": ("أموكسيسيلين", 1), "amoxicilin": ("amoxicillin", 1), "سيبرو": ("سيبرو", 0), "naïfex": ("naifex", 1)}
 
 
+def hash_rows(spark, tmp_path):
+    """64 signs each, in runs of slowly changing ones, so that near pairs lie across labels and chains of clusters arise."""
+    import random
+
+    random.seed(7)
+    rows, signs = [], [random.random() < 0.5 for _ in range(64)]
+    for i in range(160):
+        if i % 20 == 0:
+            signs = [random.random() < 0.5 for _ in range(64)]
+        for k in random.sample(range(64), 3):
+            signs[k] = not signs[k]
+        rows.append((i, [1.0 if s else -1.0 for s in signs], i % 3))
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    return {i: sum(1 << (63 - k) for k, v in enumerate(e) if v > 0) for i, e, _ in rows}
+
+
+def test_hash_pairs_against_brute_force(spark, tmp_path, monkeypatch):
+    from scanloom.operators import blocks
+
+    h = hash_rows(spark, tmp_path)
+    expected = {(a, b, (h[a] ^ h[b]).bit_count()) for a in h for b in h if a < b and (h[a] ^ h[b]).bit_count() <= 5}
+    monkeypatch.setattr(blocks.pair_blocks, "__defaults__", (4,))
+    got = [tuple(r) for r in analysis.phash_hamming_pairs(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and any((a - b) % 3 for a, b, _ in got)
+
+
+def test_hash_clusters_against_the_fold(spark, tmp_path):
+    h = hash_rows(spark, tmp_path)
+    heads, expected = [], {}
+    for i in sorted(h):
+        d, k = min(((h[i] ^ h[j]).bit_count(), j) for j in heads) if heads else (65, 0)
+        expected[i] = (k, d) if d <= 8 else (i, 0)
+        heads += [i] * (d > 8)
+    assert {r["vec_id"]: (r["cluster"], r["distance"]) for r in analysis.greedy_clusters(spark, str(tmp_path)).collect()} == expected
+    assert len(heads) < len(h)
+
+
 def test_entry_points_agree():
     import __spark_entry__ as entry
 
