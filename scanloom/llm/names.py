@@ -240,22 +240,39 @@ def _learned_forms(names: DataFrame) -> DataFrame:
     return ok.select("formal", "short")
 
 
-def _family_slips(names: DataFrame) -> DataFrame:
-    """Names with a rare family name replaced by a usual one a single edit away, of a person of the same given name."""
+def _family_slips(names: DataFrame, shorts: DataFrame) -> DataFrame:
+    """Names with a family name replaced by a more usual one a single edit away, of a person of the same given name.
+
+    Short forms stand for their full forms too. One such neighbour is taken
+    however rare it is, unless full middle names tell two people; of several
+    the only one with an equal middle name or of far more strings is taken.
+    """
     size = names.groupBy("fld", "family").agg(F.count("*").alias("size"))
-    people = names.where("length(given) > 2 and length(family) > 4").select("fld", "given", "family").distinct().join(size, ["fld", "family"])
-    near = materialise(_near_in_shards(materialise(people), ["fld", "given"], "family", "size", 3, 1))
-    near = near.join(size, ["fld", "family"])
-    same = names.select("fld", "given", "family", "middle").where("length(middle) > 2").distinct()
-    agree = near.join(same, ["fld", "given", "family"]).join(same.withColumnRenamed("family", "near"), ["fld", "given", "near", "middle"])
-    agree = agree.where((F.col("near_weight") > F.col("size")) | ((F.col("near_weight") == F.col("size")) & (F.col("near") < F.col("family")))).select("fld", "given", "family", "near", "near_weight")
-    usual = near.where("size <= 2 and near_weight >= 4 * size").select("fld", "given", "family", "near", "near_weight")
-    found = agree.unionByName(usual).distinct()
-    best = found.groupBy("fld", "given", "family").agg(F.max(F.struct("near_weight", "near")).alias("b"), F.count_distinct("near").alias("k"))
-    best = best.where("k = 1").select("fld", "given", "family", F.col("b.near").alias("right"))
-    # The right spelling may itself be replaced where a slip was written twice; one step is followed.
-    out = names.join(best, ["fld", "given", "family"], "left").withColumn("family", F.coalesce("right", "family")).drop("right")
-    return out
+    formals = shorts.groupBy(F.col("short").alias("given")).agg(F.collect_set("formal").alias("formals"))
+    long = names.where("length(given) > 2 and length(family) > 4").select("fld", "given", "family", "middle").distinct().join(formals, "given", "left")
+    keyed = long.withColumn("key", F.explode(F.array_union(F.array("given"), F.coalesce("formals", F.array().cast("array<string>")))))
+    people = keyed.groupBy("fld", "key", "family").agg(F.collect_set(F.when(F.length("middle") > 2, F.col("middle"))).alias("middles"), F.collect_set("given").alias("givens"))
+    people = materialise(people.join(size, ["fld", "family"]))
+    near = _near_in_shards(people.select("fld", "key", "family", "size"), ["fld", "key"], "family", "size", 3, 1).join(people, ["fld", "key", "family"])
+    near = near.join(people.select("fld", "key", F.col("family").alias("near"), F.col("middles").alias("others")), ["fld", "key", "near"])
+    same = F.arrays_overlap("middles", "others")
+    near = materialise(near.where(same | (F.size("middles") == 0) | (F.size("others") == 0)).withColumn("same", same))
+    # Of two spellings in equally many strings the one with more neighbours is the right one.
+    degree = near.groupBy("fld", "family").agg(F.count_distinct("near").alias("degree"))
+    near = near.join(degree, ["fld", "family"]).join(degree.withColumnsRenamed({"family": "near", "degree": "near_degree"}), ["fld", "near"])
+    righter = F.struct("near_weight", "near_degree", F.col("family").alias("c")) > F.struct(F.col("size").alias("near_weight"), F.col("degree").alias("near_degree"), F.col("near").alias("c"))
+    near = near.where(righter).withColumn("sure", F.when(F.col("same") | ((F.col("size") <= 2) & (F.col("near_weight") >= 4 * F.col("size"))), F.col("near")))
+    found = near.select("fld", F.explode("givens").alias("given"), "family", "near", "sure").groupBy("fld", "given", "family")
+    best = found.agg(F.collect_set("near").alias("all"), F.collect_set("sure").alias("sure"))
+    best = best.withColumn("right", F.when(F.size("all") == 1, F.col("all")[0]).when(F.size("sure") == 1, F.col("sure")[0])).where("right is not null")
+    best = materialise(best.select("fld", "given", "family", "right"))
+    # The right spelling may itself be replaced where a slip was written twice; it is followed to its end.
+    while True:
+        on = best.select("fld", "given", F.col("family").alias("right"), F.col("right").alias("_end"))
+        if best.join(on, ["fld", "given", "right"], "left_semi").isEmpty():
+            break
+        best = materialise(best.join(on, ["fld", "given", "right"], "left").select("fld", "given", "family", F.coalesce("_end", "right").alias("right")))
+    return names.join(best, ["fld", "given", "family"], "left").withColumn("family", F.coalesce("right", "family")).drop("right")
 
 
 def _people(forms: list[tuple], short_of: dict[str, set[str]]) -> dict[tuple, str]:
@@ -312,7 +329,7 @@ def people_of_names(df: DataFrame, fields: list[str], forms: DataFrame) -> DataF
     known = forms.where("formal is not null and short_form is not null").select(folded("formal", "formal"), folded("short_form", "short")).distinct()
     names = materialise(_corrected(materialise(_oriented(materialise(_parsed(df, fields)))), known))
     shorts = materialise(known.unionByName(_learned_forms(names)).where("formal != short").distinct())
-    fixed = materialise(_family_slips(names))
+    fixed = materialise(_family_slips(names, shorts))
     by_short = shorts.groupBy("short").agg(F.collect_set("formal").alias("formals"))
     # Of one family only the different (given, middle) forms are gathered: as many as there are given names, not people.
     distinct = fixed.select("fld", "family", "given", "middle").distinct().join(by_short, F.col("given") == F.col("short"), "left").drop("short")

@@ -213,6 +213,16 @@ def test_same_person_pairs(spark):
     assert same_person_pairs(df.limit(0), ["patient_name"], forms).count() == 0
 
 
+def test_family_slips_are_linked_whatever_the_counts(spark):
+    names = ["Andrew Veklejsop", "Veklejsopp, Andrew", "Robert Wepbeshov", "Bob Wepbshov", "Ann Mary Zipgiwvin", "Ann Clara Zipgiwvan"]
+    names += [f"{t} Joseph Vintornec" for t in ("Mr.", "Dr.")] + [f"{t} Joseph Vintorncc" for t in ("Mr.", "Dr.", "Prof.")]
+    df = spark.createDataFrame([(n,) for n in names], "patient_name string")
+    forms = spark.createDataFrame([("Robert", "Bob", "en")], "formal string, short_form string, lang string")
+    got = {(r["name_a"], r["name_b"]) for r in same_person_pairs(df, ["patient_name"], forms).collect()}
+    groups = [names[:2], names[2:4], names[6:]]
+    assert got == {tuple(sorted((a, b))) for g in groups for a in g for b in g if a != b}
+
+
 # --- scan noise ------------------------------------------------------------
 
 
