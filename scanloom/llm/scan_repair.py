@@ -209,7 +209,7 @@ def line_labels(texts: DataFrame) -> DataFrame:
 
     rows = materialise(rows.withColumn("seq", mark("symbols", "again")).select("tbl", "region_no", "numbers", "seq"))
     # One row for each sequence of symbols: bounded by the alphabet and the few lines looked at.
-    counts = {r["seq"]: r["count"] for r in rows.groupBy("seq").count().orderBy(F.desc("count"), "seq").limit(20_000).collect()}
+    counts = {r["seq"]: r["count"] for r in rows.groupBy("seq").count().orderBy(F.desc("count"), "seq").collect()}
     model = LineModel().fit(counts)
     move, emit = model.move, model.emit
 
@@ -247,9 +247,9 @@ def intended(word: str) -> list[str]:
         while start >= 0:
             places.append(start)
             start = word.find(read, start + 1)
-        for p in places[:8]:
+        for p in places:
             out[word[:p] + right + word[p + len(read) :]] = None
-        if 1 < len(places) <= 8:
+        if len(places) > 1:
             out[word.replace(read, right)] = None
     return [w for w in out if w and w != word]
 

@@ -16,7 +16,7 @@ from scanloom.llm.names import Trie, parse_name, same_person_pairs
 from scanloom.llm.personal_data import TYPES, Finder, find_personal_data, mask_personal_data, propose
 from scanloom.llm.pieces import split_oversized
 from scanloom.llm.reference_match import edits, jaccard_join, map_to_reference, name_form
-from scanloom.llm.scan_repair import LineModel, find_noise, head_key, page_symbol, repair_texts
+from scanloom.llm.scan_repair import CONFUSIONS, LineModel, find_noise, head_key, intended, page_symbol, repair_texts
 from scanloom.llm.tokens import count_tokens, decode_column, encode_column
 
 # --- canonical forms -------------------------------------------------------
@@ -252,6 +252,12 @@ def test_noise_is_found_and_repaired(spark):
     assert mended[900] is None and mended[901] == ""
 
 
+def test_every_place_of_a_confusion_is_tried():
+    for right, read in CONFUSIONS:
+        word = f"{read}~" * 10
+        assert f"{read}~" * 9 + f"{right}~" in intended(word) and f"{right}~" * 10 in intended(word)
+
+
 # --- personal data ---------------------------------------------------------
 
 
