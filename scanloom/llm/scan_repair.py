@@ -1,10 +1,10 @@
 """Noise of scanning in recognised text: running heads, page numbers, broken words, misread characters.
 
-The outer lines of a text are turned into symbols by layout features (does the
-line recur at the edge of other pages, is it a page number, is it a sentence)
-and labelled by a hidden Markov model whose probabilities are fitted to the
-symbol sequences of all texts. Misread words are those that a known confusion
-turns into a far more usual word of the same corpus.
+All lines of a text are turned into symbols by layout features (does the line
+recur on other pages, is it a page number, is it a sentence) and labelled by a
+hidden Markov model whose probabilities are fitted to the symbol sequences of
+all texts. Misread words are those that a known confusion turns into a far more
+usual word of the same corpus.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -37,35 +37,39 @@ ALIKE = {
 }
 BREAK_MARKS = "-­¬‐‑"
 ADJOINING = ".,;:،؛؟?!()[]{}\"'«»“”…"
-#: Lines at either end of a text that may be page furniture.
-EDGE_LINES = 3
 #: A word this many times rarer than the one a confusion leads to is taken for a misreading of it.
 RARER, LEAST_COUNT = 20, 5
 #: Most corrections that are broadcast; beyond it they are joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
 
 _ALIKE = str.maketrans(ALIKE)
-_APPENDED = re.compile(r"\s{2,}[0-9٠-٩]{1,4}$")
 _PAGE = re.compile(r"(?:(page|pagc|p@ge|pa9e|p\.|p|صفحة|صفحه|ص)\s*)?[0-9٠-٩lI|O]{1,4}(?:\s*(?:/|of|من|0f|oj)\s*[0-9٠-٩lI|O]{1,4})?", re.I)
 _DRESS = " \t[](){}-–—.·•"
-_BROKEN = re.compile(rf"(\S*\w)[{BREAK_MARKS}][ \t]*\n[ \t]*(?=(\S+))")
 _SENTENCE_END = tuple(".!?؟:,،;؛")
 
 # States and symbols of the model.
-STATES = ("top head", "top number", "body", "break", "bottom head", "bottom number")
+STATES = ("top head", "top number", "body", "break", "bottom head", "bottom number", "page break")
 FURNITURE = {"top head": "header", "bottom head": "header", "top number": "page_number", "bottom number": "page_number"}
-RECURRING, RECURRING_SENTENCE, NUMBER, BARE_NUMBER, TEXT, BLANK, GAP = "h", "r", "n", "b", "t", "_", "~"
-SYMBOLS = (RECURRING, RECURRING_SENTENCE, NUMBER, BARE_NUMBER, TEXT, BLANK, GAP)
+RECURRING, RECURRING_SENTENCE, NUMBER, BARE_NUMBER, TEXT, BLANK, GAP, NEW_PAGE = "h", "r", "n", "b", "t", "_", "~", "f"
+SYMBOLS = (RECURRING, RECURRING_SENTENCE, NUMBER, BARE_NUMBER, TEXT, BLANK, GAP, NEW_PAGE)
+#: Before recurrence is known, a sentence's symbol; it becomes RECURRING_SENTENCE or TEXT.
+SENTENCE = "s"
+#: Lines of plain text and blank lines between them can only be body and break: one symbol, GAP, stands for them all.
+_SURE = re.compile(f"{TEXT}[{TEXT}{BLANK}]*{TEXT}")
 
 
 def head_key(line: str) -> str:
     """What the spellings of one running head share: no spaces, no appended page number, confusable characters alike."""
-    return "".join(_APPENDED.sub("", line.rstrip()).casefold().split()).translate(_ALIKE)
+    line = line.rstrip()
+    bare = line.rstrip("0123456789٠١٢٣٤٥٦٧٨٩")
+    if 0 < len(line) - len(bare) <= 4 and len(bare) - len(bare.rstrip()) > 1:
+        line = bare
+    return "".join(line.casefold().split()).translate(_ALIKE)
 
 
 def page_symbol(line: str) -> str | None:
     bare = line.strip(_DRESS)
-    if not bare or len(bare) > 24 or not _PAGE.fullmatch(bare):
+    if not bare or not _PAGE.fullmatch(bare):
         return None
     plain = bare == line.strip()
     if plain and not any(c.isdigit() for c in bare):
@@ -73,18 +77,24 @@ def page_symbol(line: str) -> str | None:
     return BARE_NUMBER if plain and bare.isalnum() else NUMBER
 
 
+#: Rounds of the model's fit.
+ROUNDS = 3
+_ENDS = pa.list_(pa.struct([("line_no", pa.int32()), ("left", pa.string()), ("right", pa.string())]))
+
+
 class LineModel:
     """A left-to-right hidden Markov model over the symbols of a text's lines."""
 
-    #: What follows what: furniture at the top, then text, then furniture at the bottom.
+    #: What follows what: furniture at the top, then text, then furniture at the bottom, then perhaps another page.
     NEXT = {
         "start": ("top head", "top number", "body", "break"),
         "top head": ("top head", "top number", "body", "break"),
         "top number": ("top head", "top number", "body", "break"),
-        "body": ("body", "break", "bottom head", "bottom number", "end"),
-        "break": ("body", "break", "bottom head", "bottom number", "end"),
-        "bottom head": ("bottom head", "bottom number", "break", "end"),
-        "bottom number": ("bottom head", "bottom number", "break", "end"),
+        "body": ("body", "break", "bottom head", "bottom number", "page break", "end"),
+        "break": ("body", "break", "bottom head", "bottom number", "page break", "end"),
+        "bottom head": ("bottom head", "bottom number", "break", "page break", "end"),
+        "bottom number": ("bottom head", "bottom number", "break", "page break", "end"),
+        "page break": ("top head", "top number", "body", "break"),
     }
     #: Weights the fit starts from, in proportion.
     PRIOR = {
@@ -94,6 +104,7 @@ class LineModel:
         "bottom number": {NUMBER: 90, BARE_NUMBER: 40},
         "body": {TEXT: 90, RECURRING_SENTENCE: 5, RECURRING: 0.3, NUMBER: 0.3, BARE_NUMBER: 1, GAP: 60},
         "break": {BLANK: 100},
+        "page break": {NEW_PAGE: 100},
     }
 
     def __init__(self) -> None:
@@ -102,115 +113,172 @@ class LineModel:
 
     def path(self, symbols: str) -> tuple[str, ...]:
         """The likeliest states; furniture is followed by nothing but furniture and blank lines up to the edge."""
-        best = {"start": (0.0, ())}
+        best = {"start": 0.0}
+        back: list[dict[str, str]] = []
         for x in symbols:
-            step: dict[str, tuple[float, tuple]] = {}
-            for a, (score, states) in best.items():
+            step: dict[str, float] = {}
+            came: dict[str, str] = {}
+            for a, score in best.items():
                 for b, p in self.move[a].items():
                     e = self.emit.get(b, {}).get(x)
                     if e:
                         s = score + math.log(p) + math.log(e)
-                        if b not in step or s > step[b][0]:
-                            step[b] = (s, (*states, b))
+                        if b not in step or (s, a) > (step[b], came[b]):
+                            step[b], came[b] = s, a
             best = step
-        done = [(s + math.log(self.move[a].get("end", 1e-9)), states) for a, (s, states) in best.items()]
-        return max(done)[1] if done else ("body",) * len(symbols)
+            back.append(came)
+        done = [(s + math.log(self.move[a].get("end", 1e-9)), a) for a, s in best.items()]
+        if not done:
+            return ("body",) * len(symbols)
+        state = max(done)[1]
+        states = []
+        for came in reversed(back):
+            states.append(state)
+            state = came[state]
+        return tuple(reversed(states))
+
+    def tally(self, sequences: Iterable[tuple[str, int]]) -> dict[tuple[str, str, str], float]:
+        """Counts along the likeliest paths: ("move", state, state) and ("emit", state, symbol)."""
+        found: dict[tuple[str, str, str], float] = defaultdict(float)
+        for symbols, n in sequences:
+            states = self.path(symbols)
+            for a, b in zip(("start", *states), (*states, "end")):
+                found["move", a, b] += n
+            for s, x in zip(states, symbols):
+                found["emit", s, x] += n
+            found["total", "", ""] += n
+        return found
+
+    def refit(self, tally: dict[tuple[str, str, str], float]) -> LineModel:
+        """One round of Viterbi training: the counts, with the prior as pseudo-counts, replace the weights."""
+        weight = max(1.0, tally.get(("total", "", ""), 0) / 100)
+
+        def shares(kind: str, state: str, prior: dict[str, float]) -> dict[str, float]:
+            seen = {x: tally.get((kind, state, x), 0.0) for x in prior}
+            rest = sum(n for (k, a, _), n in tally.items() if k == kind and a == state)
+            return {x: (seen[x] + weight * w) / (rest + weight * sum(prior.values())) for x, w in prior.items()}
+
+        self.move = {a: shares("move", a, {b: 1.0 for b in n}) for a, n in self.NEXT.items()}
+        self.emit = {s: shares("emit", s, {x: w / sum(e.values()) for x, w in e.items()}) for s, e in self.PRIOR.items()}
+        return self
 
-    def fit(self, sequences: dict[str, int], rounds: int = 3) -> LineModel:
-        """Viterbi training: counts along the likeliest paths, with the prior as pseudo-counts, replace the weights."""
-        total = sum(sequences.values())
+    def fit(self, sequences: dict[str, int], rounds: int = ROUNDS) -> LineModel:
         for _ in range(rounds):
-            moves: dict = defaultdict(lambda: defaultdict(float))
-            emits: dict = defaultdict(lambda: defaultdict(float))
-            for symbols, n in sequences.items():
-                states = self.path(symbols)
-                for a, b in zip(("start", *states), (*states, "end")):
-                    moves[a][b] += n
-                for s, x in zip(states, symbols):
-                    emits[s][x] += n
-            weight = max(1.0, total / 100)
-            self.move = {a: {b: (moves[a][b] + weight) / (sum(moves[a].values()) + weight * len(n)) for b in n} for a, n in self.NEXT.items()}
-            fitted = {}
-            for s, e in self.PRIOR.items():
-                prior = sum(e.values())
-                seen = sum(emits[s].values()) + weight
-                fitted[s] = {x: (emits[s][x] + weight * w / prior) / seen for x, w in e.items()}
-            self.emit = fitted
+            self.refit(self.tally(sequences.items()))
         return self
 
 
-def edge_symbols(text: str) -> tuple[str, list[int], list[str | None]]:
-    """(symbols of the outer lines, their line numbers, the key of each that may be a running head)."""
-    lines = text.split("\n")
-    full = [i for i, x in enumerate(lines) if x and not x.isspace()]
-    if not full:
-        return "", [], []
-    low, high = (full[EDGE_LINES - 1], full[-EDGE_LINES]) if len(full) > 2 * EDGE_LINES else (len(lines), 0)
-    symbols, numbers, keys = [], [], []
-    for i, x in enumerate(lines):
-        if low < i < high:
-            if symbols[-1] != GAP:
-                symbols.append(GAP)
-                numbers.append(0)
-                keys.append(None)
-            continue
+def fit_lines(sequences: DataFrame, rounds: int = ROUNDS) -> LineModel:
+    """The model fitted to all rows of (seq, n); each round gathers one row for each pair of states and state and symbol."""
+    model = LineModel()
+    for _ in range(rounds):
+        move, emit = model.move, model.emit
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = LineModel()
+            m.move, m.emit = move, emit
+            found = m.tally((s, n) for batch in batches for s, n in zip(batch["seq"], batch["n"]))
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "a", "b", "n"])
+
+        tally = sequences.mapInPandas(count, "kind string, a string, b string, n double").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+        model.refit({(r["kind"], r["a"], r["b"]): r["n"] for r in tally.collect()})
+    return model
+
+
+def line_symbols(text: str) -> tuple[str, list[str | None]]:
+    """(a symbol for each line, the key of each that may be a running head); a form feed gives a symbol of its own."""
+    symbols, keys = [], []
+    for x in text.split("\n"):
+        if "\f" in x:
+            symbols.append(NEW_PAGE)
+            keys.append(None)
         key = None
         if not x or x.isspace():
             s = BLANK
         elif (s := page_symbol(x)) is None:
-            s = TEXT
-            if len(x) <= 120:
-                key = head_key(x)
-                s = TEXT if len(key) > 5 and not x.rstrip().endswith(_SENTENCE_END) and len(x.split()) > 1 else "s"
+            key = head_key(x)
+            s = TEXT if len(key) > 5 and not x.rstrip().endswith(_SENTENCE_END) and len(x.split()) > 1 else SENTENCE
         symbols.append(s)
-        numbers.append(i + 1)
         keys.append(key)
-    return "".join(symbols), numbers, keys
+    return "".join(symbols), keys
+
+
+def with_recurring(symbols: str, again: Iterable[int]) -> tuple[str, list[int]]:
+    """(symbols now that it is known which lines recur, the line number of each; 0 where a symbol stands for several lines)."""
+    hits = set(again)
+    seen = "".join({TEXT: RECURRING, SENTENCE: RECURRING_SENTENCE}.get(c, c) if i in hits else (TEXT if c == SENTENCE else c) for i, c in enumerate(symbols))
+    number, numbers = 0, []
+    for c in seen:
+        number += c != NEW_PAGE
+        numbers.append(0 if c == NEW_PAGE else number)
+    out, kept, at = [], [], 0
+    for m in _SURE.finditer(seen):
+        out += [seen[at : m.start()], GAP]
+        kept += [*numbers[at : m.start()], 0]
+        at = m.end()
+    return "".join(out) + seen[at:], kept + numbers[at:]
+
+
+def broken_ends(text: str) -> list[tuple[int, str, str]]:
+    """(line number, left, right) of the words that may be broken at the end of a line."""
+    out, lines = [], text.split("\n")
+    for i, line in enumerate(lines[:-1]):
+        line = line.rstrip(" \t")
+        if line[-1:] not in BREAK_MARKS or not (line[-2:-1].isalnum() or line[-2:-1] == "_"):
+            continue
+        following = lines[i + 1].split(None, 1)
+        if not following:
+            continue
+        a, b = line[:-1].split()[-1].lstrip(ADJOINING), following[0].rstrip(ADJOINING)
+        if a and b and a[-1].isalpha() and (b[0].isalpha() or b[0] in "1|@0" and len(b) > 1) and "@" not in a[:-1]:
+            out.append((i + 1, a, b))
+    return out
+
 
+def scan_lines(texts: DataFrame) -> DataFrame:
+    """(tbl, region_no, page_group, symbols, keys, broken) of each text: one pass for all that is read from lines.
 
-def _edges(texts: DataFrame) -> DataFrame:
-    """(tbl, region_no, page_group, symbols, numbers, keys) of each text; a key is a hash, 0 for none."""
+    A key is a hash, 0 for none; page_group is hashed with tbl, null for none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            out = [edge_symbols(t) for t in batch.column(3).to_pylist()]
-            hashes = [[xxhash.xxh3_64_intdigest(k) - 2**63 if k else 0 for k in keys] for _, _, keys in out]
+            values = batch.column(3).to_pylist()
+            found = [line_symbols(t) for t in values]
+            hashes = [[xxhash.xxh3_64_intdigest(k) - 2**63 if k else 0 for k in keys] for _, keys in found]
+            ends = [[{"line_no": i, "left": a, "right": b} for i, a, b in broken_ends(t)] for t in values]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["tbl", "region_no", "page_group", "symbols", "numbers", "keys"],
+                [*batch.columns[:3], pa.array([s for s, _ in found], pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(ends, _ENDS)],
+                names=["tbl", "region_no", "page_group", "symbols", "keys", "broken"],
             )
 
-    return texts.mapInArrow(run, "tbl string, region_no bigint, page_group string, symbols string, numbers array<int>, keys array<bigint>")
+    group = F.when(F.col("page_group").isNotNull(), F.xxhash64("tbl", "page_group")).alias("page_group")
+    schema = "tbl string, region_no bigint, page_group bigint, symbols string, keys array<bigint>, broken array<struct<line_no:int,left:string,right:string>>"
+    return texts.select("tbl", "region_no", group, "text").mapInArrow(run, schema)
 
 
-def line_labels(texts: DataFrame) -> DataFrame:
+def line_labels(scanned: DataFrame) -> DataFrame:
     """(``tbl``, ``region_no``, ``line_no``, ``kind``) of running heads and page-number lines.
 
-    ``texts`` has tbl, region_no, page_group and text. A line is a candidate for
-    a head where its key is found at the edge of another region of the group.
+    ``scanned`` is that of ``scan_lines``. A line is a candidate for a head
+    where its key is found in another region of the group.
     """
-    edges = materialise(_edges(texts.select("tbl", "region_no", "page_group", "text")))
-    keyed = edges.where("page_group is not null").select("tbl", "region_no", "page_group", F.posexplode("keys").alias("i", "key")).where("key != 0")
-    again = keyed.groupBy("tbl", "page_group", "key").agg(F.min("region_no").alias("a"), F.max("region_no").alias("b")).where("a != b").select("tbl", "page_group", "key")
-    flagged = keyed.join(again, ["tbl", "page_group", "key"]).groupBy("tbl", "region_no").agg(F.collect_set("i").alias("again"))
-    rows = edges.select("tbl", "region_no", "symbols", "numbers").join(flagged, ["tbl", "region_no"], "left")
+    keyed = scanned.where("page_group is not null").select("region_no", "page_group", F.posexplode("keys").alias("i", "key")).where("key != 0")
+    # What recurs is told by key and group; the keys of one head and group meet as one row and are spread again.
+    again = keyed.groupBy("page_group", "key").agg(F.min("region_no").alias("a"), F.max("region_no").alias("b")).where("a != b").select("page_group", "key")
+    flagged = keyed.join(again.hint("shuffle_hash"), ["page_group", "key"]).groupBy("page_group", "region_no").agg(F.collect_set("i").alias("again"))
+    rows = scanned.select("tbl", "region_no", "page_group", "symbols").join(flagged, ["page_group", "region_no"], "left")
     # Only texts with something to label go on.
-    rows = rows.where(F.col("again").isNotNull() | F.col("symbols").rlike("[nb]"))
+    rows = rows.where(F.col("again").isNotNull() | F.col("symbols").rlike(f"[{NUMBER}{BARE_NUMBER}]"))
 
-    @F.pandas_udf("string")
-    def mark(symbols: pd.Series, again: pd.Series) -> pd.Series:
-        def one(s: str, hits) -> str:
-            hits = set(hits) if hits is not None else ()
-            return "".join({"t": RECURRING, "s": RECURRING_SENTENCE}.get(c, c) if i in hits else ("t" if c == "s" else c) for i, c in enumerate(s))
-
-        return pd.Series([one(s, a) for s, a in zip(symbols, again)])
+    @F.pandas_udf("seq string, numbers array<int>")
+    def mark(symbols: pd.Series, again: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([with_recurring(s, a if a is not None else ()) for s, a in zip(symbols, again)], columns=["seq", "numbers"])
 
-    rows = materialise(rows.withColumn("seq", mark("symbols", "again")).select("tbl", "region_no", "numbers", "seq"))
-    # One row for each sequence of symbols: bounded by the alphabet and the few lines looked at.
-    counts = {r["seq"]: r["count"] for r in rows.groupBy("seq").count().orderBy(F.desc("count"), "seq").collect()}
-    model = LineModel().fit(counts)
+    rows = materialise(rows.withColumn("x", mark("symbols", "again")).select("tbl", "region_no", "x.numbers", "x.seq"))
+    model = fit_lines(materialise(rows.groupBy("seq").agg(F.count("*").alias("n"))))
     move, emit = model.move, model.emit
 
     @F.pandas_udf("array<struct<line_no:int,kind:string>>")
@@ -228,8 +296,9 @@ def _tokens(column: Column) -> Column:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(``token``, ``n``) of all different white-space-separated tokens, as they stand."""
-    return texts.select(F.explode(_tokens(F.col("text"))).alias("token")).where("token != ''").groupBy("token").agg(F.count("*").alias("n"))
+    """(``token``, ``n``, ``w``) of all different white-space-separated tokens as they stand, with the bare word in lower case."""
+    each = texts.select(F.explode(_tokens(F.col("text"))).alias("token")).where("token != ''").groupBy("token").agg(F.count("*").alias("n"))
+    return each.withColumn("w", F.lower(F.btrim("token", F.lit(ADJOINING))))
 
 
 def bare_word(token: str) -> str:
@@ -267,11 +336,7 @@ def corrections(counts: DataFrame) -> DataFrame:
     Words with look-alike characters of other scripts are no misreadings.
     """
 
-    @F.pandas_udf("string")
-    def plain(s: pd.Series) -> pd.Series:
-        return pd.Series([bare_word(t).lower() for t in s])
-
-    words = materialise(counts.withColumn("w", plain("token")).where("length(w) > 2"))
+    words = counts.where("length(w) > 2")
     usual = words.groupBy("w").agg(F.sum("n").alias("n"))
 
     @F.pandas_udf("array<string>")
@@ -304,38 +369,13 @@ def corrections(counts: DataFrame) -> DataFrame:
     return out.select("token", "d.right", "d.word")
 
 
-def broken_words(texts: DataFrame) -> DataFrame:
-    """(tbl, region_no, line_no, left, right) of the words that may be broken at the end of a line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, line, left, right = [], [], [], []
-            for k, t in enumerate(batch.column(2).to_pylist()):
-                for m in _BROKEN.finditer(t):
-                    a, b = m[1].lstrip(ADJOINING), m[2].rstrip(ADJOINING)
-                    if a and b and a[-1].isalpha() and (b[0].isalpha() or b[0] in "1|@0" and len(b) > 1) and "@" not in a[:-1] and len(a) + len(b) < 60:
-                        row.append(k)
-                        line.append(t.count("\n", 0, m.end(1)) + 1)
-                        left.append(a)
-                        right.append(b)
-            if row:
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(left), pa.array(right)], names=["tbl", "region_no", "line_no", "left", "right"])
-
-    return texts.select("tbl", "region_no", "text").mapInArrow(run, "tbl string, region_no bigint, line_no int, left string, right string")
-
-
 def _rejoined(broken: DataFrame, counts: DataFrame) -> DataFrame:
     """(tbl, region_no, line_no, kind, word): the whole word, its own hyphen kept where that spelling is the more usual."""
     parts = broken.select("left", "right").distinct()
     plain = F.lower(F.concat("left", "right"))
     hyphened = F.lower(F.concat_ws("-", "left", "right"))
 
-    @F.pandas_udf("string")
-    def bare(s: pd.Series) -> pd.Series:
-        return pd.Series([bare_word(t).lower() for t in s])
-
-    usual = materialise(counts.withColumn("w", bare("token")).groupBy("w").agg(F.sum("n").alias("n")))
+    usual = materialise(counts.groupBy("w").agg(F.sum("n").alias("n")))
 
     @F.pandas_udf("array<string>")
     def sources(s: pd.Series) -> pd.Series:
@@ -373,13 +413,15 @@ def find_noise(texts: DataFrame) -> DataFrame:
     word, once a line). All counts are over all texts given.
     """
     texts = texts.where("text is not null and text != ''")
-    labels = materialise(line_labels(texts))
+    scanned = materialise(scan_lines(texts))
+    labels = materialise(line_labels(scanned))
     counts = materialise(word_counts(texts))
     # A word whose end stands at the end of a line is told from what follows, not from the broken pieces.
     fixes = materialise(corrections(counts))
     if fixes.count() <= MAX_BROADCAST_ROWS:
         fixes = F.broadcast(fixes)
-    hyphens = materialise(_rejoined(broken_words(texts), counts).distinct())
+    broken = materialise(scanned.where("size(broken) > 0").select("tbl", "region_no", F.explode("broken").alias("x")).select("tbl", "region_no", "x.*").distinct())
+    hyphens = materialise(_rejoined(broken, counts))
 
     lines = texts.select("tbl", "region_no", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     tokens = lines.select("tbl", "region_no", (F.col("i") + 1).alias("line_no"), _tokens(F.col("line")).alias("t"))
