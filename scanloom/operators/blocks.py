@@ -22,7 +22,7 @@ def pair_blocks(df: DataFrame, group: list[str], row_id: Column, sizes: DataFram
     """
     b = F.ceil(F.col("_size") / F.lit(block_rows)).cast("int")
     part = F.pmod(F.xxhash64(row_id), b).cast("int")
-    out = df.join(sizes.select(*group, F.col("n").alias("_size")), group).withColumn("_part", part)
+    out = df.join(sizes.select(*group, F.col("n").alias("_size")).hint("merge"), group).withColumn("_part", part)
     other = F.explode(F.sequence(F.lit(0), b - 1))
     return (
         out.select("*", other.alias("_other"))
