@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.operators.blocks import meets, pair_blocks
@@ -31,6 +31,8 @@ SHAPES = str.maketrans({"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "
 
 #: A spelling this many times rarer than one a single edit away is taken for a slip of it.
 RARER = 8
+#: Words of a shard that one trie holds; larger shards are cut into parts.
+TRIE_WORDS = 5000
 #: Share of a short form's families in which its full form is found, at least, and how much more often than by chance.
 SHORT_FORM_SHARE, SHORT_FORM_LIFT = 0.4, 4.0
 
@@ -185,26 +187,75 @@ def _oriented(names: DataFrame) -> DataFrame:
     return out.select("fld", "name", family.alias("family"), F.element_at("rest", 1).alias("given"), F.try_element_at("rest", F.lit(2)).alias("middle")).where("length(family) > 1")
 
 
-def _near_in_shards(df: DataFrame, groups: list[str], word: str, weight: str, size: int, k: int) -> DataFrame:
-    """(groups, ``word``, ``near``, ``near_weight``) of the words of a group within ``k`` edits, by a trie for each shard.
+def shard_keys(word: Column) -> Column:
+    """The shards of a word: any two words a single edit apart, swaps included, share one.
 
-    ``df`` has one row for each (groups, word) with its ``weight``.
+    An edit is in one half of the shorter word, whose other half both words
+    then have at the same end; a swap across the middle leaves what is around
+    it. A word emits the halves for its own length and, for a longer word that
+    lost a letter, for a length less one.
     """
-    shard = F.explode(F.array(F.concat(F.lit("a"), F.substring(word, 1, size)), F.concat(F.lit("z"), F.substring(F.col(word), F.greatest(F.lit(1), F.length(word) - (size - 1)), F.lit(size)))))
-    schema = ", ".join([*(f"{g} string" for g in groups), f"{word} string, near string, near_weight bigint"])
+    n = F.length(word)
+
+    def halves(m: Column) -> list[Column]:
+        h = F.floor(m / 2).cast("int")
+        rest = m - h
+        return [F.concat(F.lit("a"), m.cast("string"), F.substring(word, F.lit(1), h)), F.concat(F.lit("z"), m.cast("string"), F.substring(word, n - rest + 1, rest))]
+
+    h = F.floor(n / 2).cast("int")
+    around = F.concat(F.lit("x"), F.substring(word, F.lit(1), h - 1), F.lit("."), F.substring(word, h + 2, n))
+    across = F.when(n > 1, F.array(around)).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(*halves(n), *halves(n - 1)), across)
 
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        weights = dict(zip(rows[word], rows[weight]))
-        trie = Trie(weights)
-        out = [(w, v, weights[v]) for w in weights for v in trie.near(w, k) if v != w]
-        found = pd.DataFrame(out, columns=[word, "near", "near_weight"])
-        for g in groups:
-            found[g] = rows[g].iloc[0]
-        return found[[*groups, word, "near", "near_weight"]]
 
-    lone = Window.partitionBy(*groups, "_shard")
-    spread = df.select(*groups, word, weight, shard.alias("_shard")).withColumn("_n", F.count("*").over(lone)).where("_n > 1").drop("_n")
-    return spread.groupBy(*groups, "_shard").applyInPandas(join, schema).distinct()
+def _near_in_shards(df: DataFrame, groups: list[str], word: str, weight: str) -> DataFrame:
+    """(groups, ``word``, ``near``, ``near_weight``) of the words of a group a single edit apart, by a trie for each shard.
+
+    ``df`` has one row for each (groups, word) with its ``weight``. Exact: see
+    ``shard_keys``. A shard of more than ``TRIE_WORDS`` words is cut into parts,
+    and each two parts meet in a trie of their own.
+    """
+    schema = ", ".join([*(f"{g} string" for g in groups), f"{word} string, near string, near_weight bigint"])
+    spread = df.select(*groups, word, F.col(weight).cast("bigint").alias("_w"), F.explode(shard_keys(F.col(word))).alias("_shard"))
+    sizes = spread.groupBy(*groups, "_shard").agg(F.count("*").alias("n")).where("n > 1")
+    keys = [*groups, "_shard", "_lo", "_hi"]
+    blocks = pair_blocks(spread, [*groups, "_shard"], F.col(word), sizes, TRIE_WORDS).select(*keys, "_part", word, "_w")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    size, at = len(keys), len(groups)
+
+    def met(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        weights = {r[size + 1]: r[size + 2] for r in rows}
+        low, high = key[at + 1], key[at + 2]
+        tree = Trie(r[size + 1] for r in rows if r[size] == low)
+        for r in rows:
+            if r[size] == high:
+                for near in tree.near(r[size + 1], 1):
+                    if near != r[size + 1]:
+                        yield (*key[:at], r[size + 1], near, weights[near])
+                        if low != high:
+                            yield (*key[:at], near, r[size + 1], r[size + 2])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: set[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found)) if found else [()] * (at + 3)
+            types = [pa.string()] * (at + 2) + [pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*groups, word, "near", "near_weight"])
+
+        key, rows = None, []
+        for batch in batches:
+            found: set[tuple] = set()
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:size] != key:
+                    if rows:
+                        found.update(met(key, rows))
+                    key, rows = row[:size], []
+                rows.append(row)
+            yield out(found)
+        if rows:
+            yield out(set(met(key, rows)))
+
+    # Few bytes but much work: spread by number, not by size.
+    return blocks.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(join, schema).distinct()
 
 
 def _corrected(names: DataFrame, forms: DataFrame) -> DataFrame:
@@ -212,7 +263,7 @@ def _corrected(names: DataFrame, forms: DataFrame) -> DataFrame:
     tokens = names.select("family", F.explode(F.array("given", "middle")).alias("w")).where("length(w) > 2").distinct()
     vocabulary = tokens.groupBy("w").agg(F.count("*").alias("n")).withColumn("g", F.lit(""))
     known = forms.select(F.explode(F.array("formal", "short")).alias("w")).distinct()
-    near = _near_in_shards(materialise(vocabulary), ["g"], "w", "n", 2, 1).join(vocabulary.select("w", "n"), "w")
+    near = _near_in_shards(materialise(vocabulary), ["g"], "w", "n").join(vocabulary.select("w", "n"), "w")
     slips = near.where((F.col("near_weight") >= RARER * F.col("n")) & (F.col("near_weight") >= 3)).join(known, "w", "left_anti")
     best = slips.groupBy("w").agg(F.max(F.struct("near_weight", "near")).alias("b")).select("w", F.col("b.near").alias("right"))
     out = names
@@ -253,7 +304,7 @@ def _family_slips(names: DataFrame, shorts: DataFrame) -> DataFrame:
     keyed = long.withColumn("key", F.explode(F.array_union(F.array("given"), F.coalesce("formals", F.array().cast("array<string>")))))
     people = keyed.groupBy("fld", "key", "family").agg(F.collect_set(F.when(F.length("middle") > 2, F.col("middle"))).alias("middles"), F.collect_set("given").alias("givens"))
     people = materialise(people.join(size, ["fld", "family"]))
-    near = _near_in_shards(people.select("fld", "key", "family", "size"), ["fld", "key"], "family", "size", 3, 1).join(people, ["fld", "key", "family"])
+    near = _near_in_shards(people.select("fld", "key", "family", "size"), ["fld", "key"], "family", "size").join(people, ["fld", "key", "family"])
     near = near.join(people.select("fld", "key", F.col("family").alias("near"), F.col("middles").alias("others")), ["fld", "key", "near"])
     same = F.arrays_overlap("middles", "others")
     near = materialise(near.where(same | (F.size("middles") == 0) | (F.size("others") == 0)).withColumn("same", same))
@@ -275,44 +326,46 @@ def _family_slips(names: DataFrame, shorts: DataFrame) -> DataFrame:
     return names.join(best, ["fld", "given", "family"], "left").withColumn("family", F.coalesce("right", "family")).drop("right")
 
 
-def _people(forms: list[tuple], short_of: dict[str, set[str]]) -> dict[tuple, str]:
-    """Person of each (given, middle) form of one family.
+def _people(forms: DataFrame) -> DataFrame:
+    """(fld, family, given, middle, person) of each different (given, middle) form of a family that means one person.
 
-    A given name is one person's, unless full middle names differ. Short forms
-    and initials are taken for the only person they fit, and stay alone where
-    they fit several.
+    ``forms`` has fld, family, given, middle and, where given is a short form,
+    ``formals``. A given name is one person's, unless full middle names differ.
+    Short forms and initials are taken for the only person they fit, stand for
+    themselves where they fit none, and are left out where they fit several.
+    People are counted by what a form can ask for, so no family is gathered.
     """
-    full: dict[str, set[str]] = defaultdict(set)
-    for given, middle in forms:
-        if len(given) > 1 and not (short_of.get(given) and not (middle and len(middle) > 1)):
-            full[given].add(middle if middle and len(middle) > 1 else "")
-    for given, _ in forms:  # a short form with no full form in the family stands for itself
-        if len(given) > 1 and given not in full and not any(f in full for f in short_of.get(given, ())):
-            full[given].add("")
-    people = {g: sorted(m - {""}) for g, m in full.items()}
-
-    def fits(given: str, middle: str | None) -> list[tuple[str, str]]:
-        if len(given) == 1:
-            names = [g for g in people if g[0] == given]
-        elif given in people:
-            names = [given]
-        else:
-            names = [g for g in short_of.get(given, ()) if g in people]
-        out = []
-        for g in names:
-            for m in people[g] or [""]:
-                if not middle or not m or m == middle or (len(middle) == 1 and m[0] == middle):
-                    out.append((g, m))
-        return out
-
-    found = {}
-    for given, middle in forms:
-        hits = fits(given, middle)
-        if len(hits) == 1:
-            found[given, middle] = "/".join(hits[0])
-        elif not hits:
-            found[given, middle] = f"{given}?" if len(given) == 1 else given
-    return found
+    of = ["fld", "family"]
+    long_middle = F.length("middle") > 1
+    named = forms.where("length(given) > 1").select(*of, "given", "formals", F.coalesce(F.when(long_middle, F.col("middle")), F.lit("")).alias("m"))
+    base = named.where("formals is null or m != ''").select(*of, "given", "m").distinct()
+    # A short form with no full form in the family stands for itself.
+    givens = base.select(*of, "given").distinct()
+    others = named.where("formals is not null").select(*of, "given", "formals").distinct().join(givens, [*of, "given"], "left_anti")
+    held = others.select(*of, "given", F.explode("formals").alias("formal")).join(givens.withColumnRenamed("given", "formal"), [*of, "formal"], "left_semi")
+    alone = others.join(held, [*of, "given"], "left_anti").select(*of, "given", F.lit("").alias("m"))
+    known = materialise(base.unionByName(alone))
+    full = known.groupBy(*of, "given").agg(F.max("m").alias("_most"))
+    people = known.join(full, [*of, "given"]).where("m != '' or _most = ''").select(*of, "given", "m")
+
+    # What forms ask for: a given name or its initial, with any middle name, this one, this initial or none.
+    asked = F.array(F.concat(F.lit("g"), F.col("given")), F.concat(F.lit("i"), F.substring("given", 1, 1)))
+    middles = F.array_distinct(F.array(F.lit("*"), F.concat(F.lit("="), F.col("m")), F.concat(F.lit("0"), F.substring("m", 1, 1))))
+    person = F.concat_ws("/", "given", "m")
+    counted = people.select(*of, person.alias("person"), F.explode(asked).alias("ask"), middles.alias("_m")).select(*of, "person", "ask", F.explode("_m").alias("mid"))
+    counted = counted.groupBy(*of, "ask", "mid").agg(F.count("*").alias("c"), F.min("person").alias("person"))
+
+    of_form = [*of, "given", "middle"]
+    rows = forms.join(full.select(*of, "given", F.lit(True).alias("_known")), [*of, "given"], "left")
+    single = F.length("given") == 1
+    look = F.when(single, F.array(F.concat(F.lit("i"), F.col("given")))).when(F.col("_known"), F.array(F.concat(F.lit("g"), F.col("given"))))
+    look = look.otherwise(F.transform(F.coalesce("formals", F.array().cast("array<string>")), lambda x: F.concat(F.lit("g"), x)))
+    given_middle = F.when(long_middle, F.array(F.concat(F.lit("="), F.col("middle")), F.lit("="))).otherwise(F.array(F.concat(F.lit("0"), F.col("middle")), F.lit("=")))
+    mids = F.when(F.coalesce(F.length("middle"), F.lit(0)) == 0, F.array(F.lit("*"))).otherwise(given_middle)
+    asks = rows.select(*of_form, F.explode_outer(look).alias("ask"), mids.alias("_m")).select(*of_form, "ask", F.explode("_m").alias("mid"))
+    hits = asks.join(counted, [*of, "ask", "mid"], "left").groupBy(*of_form).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("hits"), F.min("person").alias("person"))
+    own = F.when(single, F.concat("given", F.lit("?"))).otherwise(F.col("given"))
+    return hits.where("hits < 2").select(*of_form, F.when(F.col("hits") == 1, F.col("person")).otherwise(own).alias("person"))
 
 
 def people_of_names(df: DataFrame, fields: list[str], forms: DataFrame) -> DataFrame:
@@ -331,19 +384,8 @@ def people_of_names(df: DataFrame, fields: list[str], forms: DataFrame) -> DataF
     shorts = materialise(known.unionByName(_learned_forms(names)).where("formal != short").distinct())
     fixed = materialise(_family_slips(names, shorts))
     by_short = shorts.groupBy("short").agg(F.collect_set("formal").alias("formals"))
-    # Of one family only the different (given, middle) forms are gathered: as many as there are given names, not people.
-    distinct = fixed.select("fld", "family", "given", "middle").distinct().join(by_short, F.col("given") == F.col("short"), "left").drop("short")
-
-    def resolve(rows: pd.DataFrame) -> pd.DataFrame:
-        middles = [m if isinstance(m, str) else None for m in rows["middle"]]
-        short_of = {g: set(f) for g, f in zip(rows["given"], rows["formals"]) if f is not None}
-        found = _people(list(zip(rows["given"], middles)), short_of)
-        out = rows[["fld", "family", "given"]].copy()
-        out["middle"] = middles
-        out["person"] = [found.get((g, m)) for g, m in zip(rows["given"], middles)]
-        return out
-
-    people = distinct.groupBy("fld", "family").applyInPandas(resolve, "fld string, family string, given string, middle string, person string").where("person is not null")
+    distinct = materialise(fixed.select("fld", "family", "given", "middle").distinct().join(by_short, F.col("given") == F.col("short"), "left").drop("short"))
+    people = _people(distinct)
     a, b = fixed.alias("a"), people.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("fld", "family", "given")] + [F.col("a.middle").eqNullSafe(F.col("b.middle"))]
     return a.join(b, same).select("a.fld", "a.name", "a.family", "b.person")
