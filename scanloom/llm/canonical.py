@@ -1,9 +1,10 @@
 """One consistent form for texts that look the same but differ in their characters.
 
-A mapping from source sequences to target sequences is derived from Unicode
-data and a short list of look-alike letters, checked for conflicts, and
-compiled into a longest-match transducer over grapheme clusters (a base
-character and the marks that follow it). A text is rewritten in one pass.
+A mapping from source sequences (single characters, letters with their marks in
+any composition, conjoining letters) to target sequences is derived from Unicode
+data and a short list of look-alike letters, checked for conflicts, and compiled
+into a longest-match transducer over grapheme clusters (a base character and the
+marks that follow it). A text is rewritten in one pass.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.operators.blocks import meets, pair_blocks
+from scanloom.session import materialise
 
 # Letters and digits of other scripts that have the shape of the one on the right.
 LOOK_ALIKES = {
@@ -38,8 +40,11 @@ SAME_LOOK_TAGS = ("<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<iso
 INVISIBLE_CATEGORIES = ("Cf",)
 #: Format characters that do show: Arabic number and verse signs.
 VISIBLE_FORMAT = frozenset("؀؁؂؃؄؅۝܏࣢")
-VARIATION_SELECTORS = [*range(0xFE00, 0xFE10), 0x034F, 0x115F, 0x1160, 0x3164]
-TOP = 0x20000
+VARIATION_SELECTORS = frozenset([*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), 0x034F, 0x115F, 0x1160, 0x3164])
+#: Planes in which characters have rules: the first two, compatibility ideographs, tags and further variation selectors.
+PLANES = (range(0x80, 0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE1000))
+TOP = 0xE1000
+HANGUL_LETTERS, HANGUL = range(0x1100, 0x1200), range(0xAC00, 0xD7A4)
 
 
 class ConflictError(ValueError):
@@ -50,20 +55,15 @@ def _compose(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-@cache
-def mapping() -> dict[str, str]:
-    """Source sequence to target sequence, closed under its own rules.
-
-    Raises ConflictError if the rules contradict each other or if applying the
-    mapping to one of its results would change it.
-    """
+def single_rules() -> dict[str, str]:
+    """Source character to target sequence."""
     single: dict[str, str] = {}
 
     def put(source: str, target: str) -> None:
         if source != target and single.setdefault(source, target) != target:
             raise ConflictError(f"{source!r}: {single[source]!r} and {target!r}")
 
-    for code in range(0x80, TOP):
+    for code in (c for plane in PLANES for c in plane):
         c = chr(code)
         kind = unicodedata.category(c)
         if kind in INVISIBLE_CATEGORIES and c not in VISIBLE_FORMAT or code in VARIATION_SELECTORS:
@@ -81,6 +81,11 @@ def mapping() -> dict[str, str]:
                     put(c, target)
         elif found and _compose(c) != c:
             put(c, _compose(c))  # singleton or excluded composition
+    # A composed letter whose base has the shape of another: that one with the same marks.
+    for code in (c for plane in PLANES for c in plane):
+        c = chr(code)
+        if c not in single and (parts := unicodedata.normalize("NFD", c))[0] in single and len(parts) > 1:
+            put(c, _compose("".join(single.get(x, x) for x in parts)))
     out: dict[str, str] = {}
     for source, target in single.items():
         for _ in range(3):
@@ -92,36 +97,119 @@ def mapping() -> dict[str, str]:
     return out
 
 
+@cache
+def mapping() -> dict[str, str]:
+    """Source sequence to target sequence, closed under its own rules.
+
+    To the rules of single characters come the sequences that compose: a letter
+    and marks, also where the letter is a look-alike or a width form, and
+    conjoining letters. Raises ConflictError if rules contradict each other or
+    if applying the mapping to one of its results would change it.
+    """
+    single = single_rules()
+    out = dict(single)
+
+    def put(source: str, target: str) -> None:
+        if out.setdefault(source, target) != target:
+            raise ConflictError(f"{source!r}: {out[source]!r} and {target!r}")
+
+    variants: dict[str, list[str]] = {}
+    for source, target in single.items():
+        if len(target) == 1:
+            variants.setdefault(target, []).append(source)
+    for code in (c for plane in PLANES for c in plane):
+        c = chr(code)
+        if c in single or not (found := unicodedata.decomposition(c)) or found.startswith("<"):
+            continue
+        parts = unicodedata.normalize("NFD", c)
+        if _compose(parts) == c and len(parts) > 1:
+            put(parts, c)
+            for v in variants.get(parts[0], ()):
+                put(v + parts[1:], c)
+            # A composed letter and a further mark.
+            for k in range(2, len(parts)):
+                head = _compose(parts[:k])
+                if len(head) == 1:
+                    put(head + parts[k:], c)
+    for code in HANGUL:
+        parts = unicodedata.normalize("NFD", chr(code))
+        put(parts, chr(code))
+        if len(parts) > 2:
+            put(_compose(parts[:2]) + parts[2:], chr(code))
+    for source, target in out.items():
+        if target in out:
+            raise ConflictError(f"{source!r} gives {target!r}, which is rewritten again")
+    return out
+
+
 class Transducer:
-    """Longest match over grapheme clusters; states beyond the compiled ones are added as clusters are met."""
+    """Longest match of compiled source sequences over grapheme clusters.
+
+    The sources are compiled into a trie of states. A cluster's marks are put
+    in canonical order, then the longest source from each place on is
+    rewritten; what a result ends in is matched again with marks left over. The
+    result of a cluster is kept, as a state that is added when it is met.
+    """
 
     def __init__(self, rules: dict[str, str] | None = None) -> None:
         self.rules = mapping() if rules is None else rules
+        self.states: dict[str, dict] = {}
+        for source, target in self.rules.items():
+            node = self.states
+            for c in source:
+                node = node.setdefault(c, {})
+            node[""] = target
         marks = "".join(self._ranges(lambda c: unicodedata.combining(c) > 0))
         singles = "".join(self._ranges(lambda c: c in self.rules))
-        hangul = "ᄀ-ᅞᅡ-ᇿ"
+        hangul = f"{chr(HANGUL_LETTERS[0])}-{chr(HANGUL_LETTERS[-1])}{chr(HANGUL[0])}-{chr(HANGUL[-1])}"
         invisible = "".join(self._ranges(lambda c: self.rules.get(c) == ""))
-        # A cluster that needs work: a base with marks (invisible characters may stand between), a mapped character, conjoining letters.
-        self.scan = re.compile(f"[{hangul}]+|[^{marks}\\n][{invisible}]*[{marks}][{marks}{invisible}]*|[{singles}]")
-        self.starts = frozenset(chr(c) for c in range(0x80, TOP) if unicodedata.combining(chr(c)) or chr(c) in self.rules or 0x1100 <= c <= 0x11FF)
+        # A cluster that needs work: conjoining letters, a base with marks (invisible characters may stand between), a mapped character.
+        self.scan = re.compile(f"[{hangul}][{hangul}{invisible}]+|[^{marks}\\n][{invisible}]*[{marks}][{marks}{invisible}]*|[{singles}]")
+        self.hidden = re.compile(f"[{invisible}]+")
+        self.starts = frozenset(chr(c) for plane in PLANES for c in plane if unicodedata.combining(chr(c)) or chr(c) in self.rules or c in HANGUL_LETTERS)
         self.memo: dict[str, str] = {}
 
     @staticmethod
     def _ranges(test) -> Iterator[str]:
-        start = None
-        for code in range(0x80, TOP + 1):
-            inside = code < TOP and not 0xD800 <= code <= 0xDFFF and test(chr(code))
-            if inside and start is None:
-                start = code
-            elif not inside and start is not None:
-                yield re.escape(chr(start)) + ("-" + re.escape(chr(code - 1)) if code - 1 > start else "")
-                start = None
+        for plane in PLANES:
+            start = None
+            for code in range(plane[0], plane[-1] + 2):
+                inside = code in plane and not 0xD800 <= code <= 0xDFFF and test(chr(code))
+                if inside and start is None:
+                    start = code
+                elif not inside and start is not None:
+                    yield re.escape(chr(start)) + ("-" + re.escape(chr(code - 1)) if code - 1 > start else "")
+                    start = None
+
+    def longest(self, text: str, at: int) -> tuple[int, str | None]:
+        """(end, target) of the longest source at this place; (at, None) if there is none."""
+        node, end, target = self.states, at, None
+        for k in range(at, len(text)):
+            node = node.get(text[k])
+            if node is None:
+                break
+            if "" in node:
+                end, target = k + 1, node[""]
+        return end, target
+
+    def _rewritten(self, source: str) -> str:
+        text = unicodedata.normalize("NFD", self.hidden.sub("", source))
+        out, at = "", 0
+        while at < len(text):
+            end, target = self.longest(text, at)
+            if target is None:
+                out, at = out + text[at], at + 1
+            elif end < len(text) and len(target) > 1 and unicodedata.combining(text[end]):
+                out, text, at = out + target[:-1], target[-1] + text[end:], 0  # marks may join the last letter
+            else:
+                out, at = out + target, end
+        return out
 
     def _cluster(self, match: re.Match) -> str:
         source = match[0]
         target = self.memo.get(source)
         if target is None:
-            target = _compose("".join(self.rules.get(c, c) for c in source))
+            target = self._rewritten(source)
             if len(self.memo) < 100_000:
                 self.memo[source] = target
         return target
@@ -157,31 +245,40 @@ def with_canonical(df: DataFrame, field: str, out: str = "canonical") -> DataFra
     return df.withColumn(out, canonical(F.col(field)))
 
 
-def look_same_classes(df: DataFrame, key: str, field: str) -> DataFrame:
-    """(``key``, ``value``, ``form``) of the rows whose value looks like a different string of another row.
+def _digest(column: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(column, 256)), 1, 16)
+
+
+def look_same_forms(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(``fld``, ``key``, ``value``, ``form``) of the rows' values that are not null, the last two as digests of 128 bits.
 
-    Rows with a null value are no cases. Exact repeats of (key, value) count
-    once. Two shuffles: one by value, one by consistent form, of which only
-    forms with at least two different strings go on.
+    Exact repeats of a key and value count once. No text is shuffled.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(field).cast("string").alias("value")).where("key is not null and value is not null").distinct()
-    forms = rows.withColumn("form", F.sha2(canonical(F.col("value")), 256))
-    several = forms.groupBy("form").agg(F.min(F.xxhash64("value")).alias("lo"), F.max(F.xxhash64("value")).alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    return forms.join(several.select("form", "n"), "form")
+    stacked = df.select(F.col(key).alias("key"), F.explode(F.array(*(F.struct(F.lit(f).alias("fld"), F.col(f).cast("string").alias("v")) for f in fields))).alias("x"))
+    rows = stacked.where("key is not null and x.v is not null").select("x.fld", "key", "x.v")
+    return rows.select("fld", "key", _digest(F.col("v")).alias("value"), _digest(canonical(F.col("v"))).alias("form")).distinct()
 
 
-def look_same_pairs(df: DataFrame, key: str, field: str, label: str | None = None) -> DataFrame:
-    """(``fld``, ``key_a``, ``key_b``): two rows, smaller key first, whose values look the same but are different strings.
+def pairs_of_forms(forms: DataFrame) -> DataFrame:
+    """(``fld``, ``key_a``, ``key_b``): rows of ``look_same_forms`` of one field, smaller key first, with one form and different values.
 
-    See ``look_same_classes``. Groups of any size are compared in blocks of
-    bounded size; the number of rows is that of the pairs that exist.
+    Only forms with at least two different values go on. Groups of any size
+    are compared in blocks of bounded size; the number of rows is that of the
+    pairs that exist.
     """
-    rows = look_same_classes(df, key, field)
-    spread = pair_blocks(rows.drop("n"), ["form"], F.col("key"), rows.select("form", "n").distinct())
-    a = spread.select("form", "_lo", "_hi", F.col("_part").alias("pa"), F.col("key").alias("key_a"), F.col("value").alias("va"))
-    b = spread.select("form", "_lo", "_hi", F.col("_part").alias("pb"), F.col("key").alias("key_b"), F.col("value").alias("vb"))
-    both = a.join(b, ["form", "_lo", "_hi"]).where((F.col("key_a") < F.col("key_b")) & (F.col("va") != F.col("vb")) & meets(F.col("pa"), F.col("pb"), F.col("_lo"), F.col("_hi")))
-    return both.select(F.lit(label or field).alias("fld"), "key_a", "key_b").distinct()
+    forms = materialise(forms)
+    several = forms.groupBy("fld", "form").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+    spread = pair_blocks(forms, ["fld", "form"], F.col("key"), several)
+    keys = ["fld", "form", "_lo", "_hi"]
+    a = spread.select(*keys, F.col("_part").alias("pa"), F.col("key").alias("key_a"), F.col("value").alias("va"))
+    b = spread.select(*keys, F.col("_part").alias("pb"), F.col("key").alias("key_b"), F.col("value").alias("vb"))
+    both = a.join(b.hint("merge"), keys).where((F.col("key_a") < F.col("key_b")) & (F.col("va") != F.col("vb")) & meets(F.col("pa"), F.col("pb"), F.col("_lo"), F.col("_hi")))
+    return both.select("fld", "key_a", "key_b").distinct()
+
+
+def look_same_pairs(df: DataFrame, key: str, *fields: str) -> DataFrame:
+    """(``fld``, ``key_a``, ``key_b``): two rows, smaller key first, whose values of a field look the same but are different strings."""
+    return pairs_of_forms(look_same_forms(df, key, list(fields)))
 
 
 def canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.canonical import look_same_pairs
+from scanloom.llm.canonical import look_same_forms, pairs_of_forms
 from scanloom.llm.mixing import mix_sources, reached_shares
 from scanloom.llm.names import same_person_pairs
 from scanloom.llm.near_duplicates import find_near_duplicates, record_groups, record_pairs
@@ -60,8 +60,8 @@ def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions, matches = table(spark, sf_dir, "medical_regions"), table(spark, sf_dir, "matching_results")
-    fields = ((regions, "region_no", "text_verbatim"), (regions, "region_no", "normalized_view"), (matches, "result_id", "original_text"))
-    return reduce(DataFrame.unionByName, (look_same_pairs(df, key, field) for df, key, field in fields))
+    forms = look_same_forms(regions, "region_no", ["text_verbatim", "normalized_view"]).unionByName(look_same_forms(matches, "result_id", ["original_text"]))
+    return pairs_of_forms(forms)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
