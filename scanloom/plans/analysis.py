@@ -33,7 +33,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS = "(SELECT DISTINCT result_id, original_text AS ref, matching_text AS hyp FROM matching_results WHERE original_text IS NOT NULL AND matching_text IS NOT NULL)"
-ASCII = "[^ -~]"
+TEXTS = "(SELECT DISTINCT result_id, original_text AS ref FROM matching_results WHERE original_text IS NOT NULL)"
 
 
 def normalize_basic(spark, sf_dir):
@@ -282,8 +282,10 @@ _base = f"{_rep('translate(' + _rep('nfc_normalize(ref)', f'[{N.SIGNS_BASIC}]',
 _west = f"translate({_base}, '{N.ARABIC_DIGITS}', '0123456789')"
 _dict = "CASE lower(x) " + " ".join(f"WHEN {sql.q(a)} THEN {sql.q(b)}" for a, b in N.MEDICAL_WORDS.items()) + " ELSE x END"
 _fold = "translate(translate(ref, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '،؟؛', ',?;')"
-_a, _b = _rep("ref", ASCII, ""), _rep("hyp", ASCII, "")
-_e = f"levenshtein({_a}, {_b})"
+# The engine counts edits of bytes, so each character of a pair becomes one byte: its place among the different ones.
+_chars = lambda c: f"regexp_extract_all({c}, '(?s).')"
+_bytes = lambda c: f"array_to_string(list_transform({_chars(c)}, lambda x: chr(CAST(list_position(cs, x) AS INTEGER))), '')"
+_coded = lambda a, b, rows: f"SELECT *, levenshtein({_bytes(a)}, {_bytes(b)}) AS e FROM (SELECT *, list_distinct(list_concat({_chars(a)}, {_chars(b)})) AS cs FROM {rows})"
 _vocab = f"list_distinct(list_concat({sql.words('ref')}, {sql.words('hyp')}))"
 _code = lambda c: f"array_to_string(list_transform({sql.words(c)}, lambda w: chr(CAST(33 + list_position(v, w) AS INTEGER))), '')"
 _hint = lambda w: f"(CASE WHEN starts_with({w}, 'ال') THEN 2 ELSE 0 END + " + " + ".join(f"CAST(contains({w}, {sql.q(h)}) AS INTEGER)" for h in N.REVERSAL_HINTS) + ")"
@@ -293,7 +295,7 @@ _clean = lambda c: _rep(_rep(c, f"[{SPACE}]+", " "), "^[ \\-:‏‎]+|[ \\-:‏
 _rec = "(SELECT DISTINCT record_id, patient_name, patient_id, visit_date, doctor_name, diagnosis FROM extracted_fields)"
 _cell = "CASE WHEN contains(line, chr(9)) THEN string_split(line, chr(9)) WHEN contains(line, '|') THEN list_filter(string_split(line, '|'), lambda x: trim(x) <> '') ELSE " + sql.words("line") + " END"
 _tab = f"t AS (SELECT DISTINCT region_no, text FROM region_records WHERE kind = 'table' AND text IS NOT NULL), l AS (SELECT region_no, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r FROM t), c AS (SELECT region_no, r, unnest({_cell}) AS cell, unnest(range(1, len({_cell}) + 1)) AS c FROM l)"
-_bits = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[1:32], lambda x: CAST(x > 0 AS BIGINT))), lambda a, b: a * 2 + b)"
+_bits = lambda part: f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[{part}], lambda x: CAST(x > 0 AS BIGINT))), lambda a, b: a * 2 + b)"
 _m = "list_transform(range(0, 16), lambda i: embedding[i * 4 + 1 : i * 4 + 4])"
 _pbase = "CASE WHEN length(patient_id) < 3 THEN 0.3e0 ELSE least(0.95e0, 0.5e0 + 0.05e0 * length(patient_id)) END"
 _pform = r"^[A-Za-z0-9\-/]{3,}$"
@@ -304,13 +306,13 @@ _px = "(SELECT vec_id, i, CAST(least(255, greatest(0, floor(CAST(v AS DOUBLE) *
 _dot = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 _nrm = lambda t: f"sqrt(list_sum(list_transform({t}.embedding, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE))))"
 SQL = {
-    "normalize_basic": f"SELECT result_id, {sql.strip(_rep(_west, f'[^{WORD}{SPACE}.{chr(92)}-،؛]', ''))} AS out FROM {PAIRS}",
-    "normalize_strong": f"SELECT result_id, {sql.strip(_rep('array_to_string(list_transform(string_split(' + sql.strip(_west) + f', {sql.q(chr(32))}), lambda x: {_dict}), {sql.q(chr(32))})', f'[^{WORD}{SPACE}.{chr(92)}-،؛؟:()]', ''))} AS out FROM {PAIRS}",
-    "words_corrected": f"SELECT result_id, array_to_string(list_transform(string_split(ref, ' '), lambda x: CASE lower(x) WHEN 'patient' THEN 'PATIENT' WHEN 'right' THEN 'left' ELSE x END), ' ') AS out, replace(replace(ref, 'the ', 'a '), 'mg', 'milligram') AS replaced, CAST(contains(ref, 'the ') AS INTEGER) + CAST(contains(replace(ref, 'the ', 'a '), 'mg') AS INTEGER) AS hits FROM {PAIRS}",
-    "rtl_reversal_ratio": f"SELECT result_id, {_rr('ref')} AS as_is, {_rr('reverse(ref)')} AS reversed FROM {PAIRS}",
-    "cer_pairs": f"SELECT result_id, {_e} AS edits, length({_a}) AS n, round(CASE WHEN length({_a}) > 0 THEN {_e} * 1.0 / length({_a}) WHEN length({_b}) > 0 THEN 1.0 ELSE 0.0 END, 6) AS cer FROM {PAIRS}",
+    "normalize_basic": f"SELECT result_id, {sql.strip(_rep(_west, f'[^{WORD}{SPACE}.{chr(92)}-،؛]', ''))} AS out FROM {TEXTS}",
+    "normalize_strong": f"SELECT result_id, {sql.strip(_rep('array_to_string(list_transform(string_split(' + sql.strip(_west) + f', {sql.q(chr(32))}), lambda x: {_dict}), {sql.q(chr(32))})', f'[^{WORD}{SPACE}.{chr(92)}-،؛؟:()]', ''))} AS out FROM {TEXTS}",
+    "words_corrected": f"SELECT result_id, array_to_string(list_transform(string_split(ref, ' '), lambda x: CASE lower(x) WHEN 'patient' THEN 'PATIENT' WHEN 'right' THEN 'left' ELSE x END), ' ') AS out, replace(replace(ref, 'the ', 'a '), 'mg', 'milligram') AS replaced, CAST(contains(ref, 'the ') AS INTEGER) + CAST(contains(replace(ref, 'the ', 'a '), 'mg') AS INTEGER) AS hits FROM {TEXTS}",
+    "rtl_reversal_ratio": f"SELECT result_id, {_rr('ref')} AS as_is, {_rr('reverse(ref)')} AS reversed FROM {TEXTS}",
+    "cer_pairs": f"SELECT result_id, e AS edits, length(ref) AS n, round(CASE WHEN length(ref) > 0 THEN e * 1.0 / length(ref) WHEN length(hyp) > 0 THEN 1.0 ELSE 0.0 END, 6) AS cer FROM ({_coded('ref', 'hyp', PAIRS)})",
     "wer_pairs": f"WITH p AS (SELECT *, {_vocab} AS v FROM {PAIRS}), e AS (SELECT result_id, levenshtein({_code('ref')}, {_code('hyp')}) AS edits, len({sql.words('ref')}) AS n FROM p) SELECT result_id, edits, n, round(CASE WHEN n > 0 THEN edits * 1.0 / n WHEN edits > 0 THEN 1.0 ELSE 0.0 END, 6) AS wer FROM e",
-    "char_wer_legacy": f"WITH w AS (SELECT result_id, {sql.words(_a)} AS r, {sql.words(_b)} AS h FROM {PAIRS}) SELECT result_id, round(CASE WHEN len(r) > 0 THEN levenshtein(array_to_string(r, ' '), array_to_string(h, ' ')) * 1.0 / len(r) WHEN len(h) > 0 THEN 1.0 ELSE 0.0 END, 6) AS wer FROM w",
+    "char_wer_legacy": f"WITH w AS (SELECT result_id, {sql.words('ref')} AS r, {sql.words('hyp')} AS h FROM {PAIRS}), j AS (SELECT *, array_to_string(r, ' ') AS a, array_to_string(h, ' ') AS b FROM w) SELECT result_id, round(CASE WHEN len(r) > 0 THEN e * 1.0 / len(r) WHEN len(h) > 0 THEN 1.0 ELSE 0.0 END, 6) AS wer FROM ({_coded('a', 'b', 'j')})",
     "digit_guardrail": f"WITH p AS (SELECT result_id, ref, replace(hyp, '7', '1') AS h FROM {PAIRS}), d AS (SELECT *, regexp_extract_all(ref, '\\p{{Nd}}+') = regexp_extract_all(h, '\\p{{Nd}}+') AS ok FROM p) SELECT result_id, CASE WHEN NOT ok THEN 'NUMERICAL_DRIFT_DETECTED' END AS flag, md5(CASE WHEN ok THEN h ELSE ref END) AS md5 FROM d",
     "text_validity": f"WITH r AS (SELECT DISTINCT region_no, {sql.strip('text')} AS t FROM region_records WHERE text IS NOT NULL) SELECT region_no, round(CASE WHEN length(t) > 0 THEN length({_rep('t', f'[^{chr(92)}p{{L}}{SPACE}؀-ۿ]', '')}) * 1.0 / length(t) ELSE 0.0 END, 6) AS validity FROM r",
     "patient_fingerprint": f"SELECT record_id, CASE WHEN coalesce(patient_name, '') || coalesce(patient_id, '') || coalesce(visit_date, '') || coalesce(doctor_name, '') = '' THEN '' ELSE sha1(coalesce(patient_name, '') || '|' || coalesce(patient_id, '') || '|' || coalesce(visit_date, '') || '|' || coalesce(doctor_name, '')) END AS sha FROM {_rec}",
@@ -318,9 +320,9 @@ SQL = {
     "medication_list": f"WITH f AS (SELECT DISTINCT record_id, medications AS m FROM extracted_fields WHERE medications IS NOT NULL) SELECT record_id, array_to_string(list_filter(list_transform(regexp_split_to_array(m, {sql.q(f'[{SPACE}]*[،,؛;' + chr(10) + f'][{SPACE}]*')}), lambda x: {_clean('x')}), lambda x: x <> ''), '|') AS items FROM f",
     "table_rows_parsed": f"WITH {_tab} SELECT region_no, r, c, {sql.strip('cell')} AS cell FROM c",
     "context_classes": f"SELECT CASE WHEN {_ctx('correct')} AND {_ctx('incorrect')} THEN 'mixed' WHEN {_ctx('correct')} THEN 'correct' WHEN {_ctx('incorrect')} THEN 'incorrect' WHEN {_ctx('revision')} THEN 'revision' END AS context, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
-    "phash_hamming_pairs": f"WITH h AS (SELECT vec_id, label, {_bits} AS bits FROM embeddings) SELECT a.vec_id, b.vec_id AS other, bit_count(xor(a.bits, b.bits)) AS d FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id WHERE bit_count(xor(a.bits, b.bits)) <= 5",
+    "phash_hamming_pairs": f"WITH h AS (SELECT vec_id, {_bits('1:32')} AS x, {_bits('33:64')} AS y FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS other, bit_count(xor(a.x, b.x)) + bit_count(xor(a.y, b.y)) AS d FROM h a JOIN h b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE d <= 5",
     "vector_topk": f"WITH s AS (SELECT a.vec_id AS query, b.vec_id, round({_dot} / ({_nrm('a')} * {_nrm('b')}), 9) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query, vec_id, rank, round(s, 5) AS similarity FROM r WHERE rank <= 5",
-    "glossary_suggestions": "WITH w AS (SELECT DISTINCT lower(x) AS word FROM (SELECT unnest(regexp_split_to_array(medication, '[^a-zA-Z]+')) AS x FROM medication_items) WHERE length(x) >= 3), t AS (SELECT DISTINCT lower(latin_name) AS term FROM medical_terms WHERE latin_name IS NOT NULL), d AS (SELECT word, term, levenshtein(word, term) AS d FROM w, t WHERE abs(length(word) - length(term)) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, term) AS k FROM d WHERE d <= 2) SELECT word, term, d AS distance FROM r WHERE k = 1",
+    "glossary_suggestions": "WITH w AS (SELECT DISTINCT lower(x) AS word FROM (SELECT unnest(regexp_split_to_array(medication, '[^\\p{L}\\p{M}]+')) AS x FROM medication_items) WHERE length(x) >= 3), t AS (SELECT DISTINCT lower(trim(unnest([latin_name, canonical]))) AS term FROM medical_terms), letters AS (SELECT string_agg(DISTINCT c, '' ORDER BY c) AS a FROM (SELECT unnest(regexp_extract_all(word || coalesce(term, ''), '[^a-z]')) AS c FROM w LEFT JOIN t ON true)), d AS (SELECT word, term, levenshtein(translate(word, a, x), translate(term, a, x)) AS d FROM w, t, (SELECT a, array_to_string(list_transform(range(1, length(a) + 1), lambda k: chr(CAST(CASE WHEN k < 97 THEN k ELSE 26 + k END AS INTEGER))), '') AS x FROM letters) WHERE term IS NOT NULL AND abs(length(word) - length(term)) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, term) AS k FROM d WHERE d <= 2) SELECT word, term, d AS distance FROM r WHERE k = 1",
     "ctc_greedy": f"WITH m AS (SELECT vec_id, {_m} AS m FROM embeddings), p AS (SELECT vec_id, list_transform(m, lambda r: list_position(r, list_max(r)) - 1) AS p FROM m) SELECT vec_id, array_to_string(list_transform(list_filter(range(1, 17), lambda i: p[i] <> 0 AND (i = 1 OR p[i] <> p[i - 1])), lambda i: (['_', 'a', 'b', 'c'])[p[i] + 1]), '') AS text FROM p",
     "levels_curves": f"SELECT vec_id, i, CAST(floor(least(255.0, greatest(0.0, (value - 40) * 255.0 / 160)) + 0.5) AS INTEGER) AS value FROM {_px}",
     "otsu_threshold": f"WITH h AS (SELECT vec_id, value AS t, count(*) AS n FROM {_px} GROUP BY ALL), s AS (SELECT vec_id, t, CAST(sum(n) OVER u AS DOUBLE) AS w, CAST(sum(n * t) OVER u AS DOUBLE) AS m, CAST(sum(n) OVER a AS DOUBLE) AS ww, CAST(sum(n * t) OVER a AS DOUBLE) AS mm FROM h WINDOW u AS (PARTITION BY vec_id ORDER BY t), a AS (PARTITION BY vec_id)), v AS (SELECT vec_id, t, coalesce(round(CASE WHEN w < ww THEN power(mm * w / ww - m, 2.0) / (w * (ww - w)) END, 9), -1) AS v FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, t) AS k FROM v) SELECT vec_id, t AS threshold FROM r WHERE k = 1",
