@@ -24,8 +24,8 @@ LABELS = {
     "patient_id": rf"(?:رقم{_S}*(?:الملف|المريض|الهوية)|Patient{_S}*ID|MRN|ID|File{_S}*No){_SEP}([A-Z0-9\-/]{{3,}})",
     "date": rf"(?:التاريخ|تاريخ{_S}*الزيارة|Date|DOB|Visit{_S}*Date){_SEP}([0-9٠-٩\-/]{{6,}})",
     "doctor_name": rf"(?:اسم{_S}*الطبيب|الطبيب|Doctor|Dr){_SEP}([^\n]+)",
-    "diagnosis": rf"(?:التشخيص|Diagnosis|Dx){_SEP}((?:.|\n)+?){_NEXT}",
-    "medications": rf"(?:الأدوية|العلاج|Medications?|Rx){_SEP}((?:.|\n)+?){_NEXT}",
+    "diagnosis": rf"(?:التشخيص|Diagnosis|Dx){_SEP}([\s\S]+?){_NEXT}",
+    "medications": rf"(?:الأدوية|العلاج|Medications?|Rx){_SEP}([\s\S]+?){_NEXT}",
 }
 SENSITIVE = {
     "PATIENT_NAME": r"(?i)(?:patient\s+name|name)\s*[:\-]?\s*.+?(?:\n|\z)",

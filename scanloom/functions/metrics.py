@@ -17,12 +17,12 @@ def cer(ref: Column, hyp: Column) -> Column:
 
 
 def _coded(a: Column, vocabulary: Column) -> Column:
-    """Words as single characters of the private-use area, by their place in the vocabulary (6 400 at most)."""
-    return F.array_join(F.transform(a, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 57343), 4, "0")), "UTF-16BE")), "")
+    """Words as single characters beyond the basic plane, by their place in the vocabulary; there are 1 048 576."""
+    return F.decode(F.unhex(F.array_join(F.transform(a, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0xFFFF), 8, "0")), "")), "UTF-32")
 
 
 def wer(ref: Column, hyp: Column) -> Column:
-    """struct(edits, n, wer): word edits over the reference's words, for texts of up to 6 400 different words together."""
+    """struct(edits, n, wer): word edits over the reference's words, for texts of up to 1 048 576 different words together."""
 
     def of(p: Column) -> Column:
         v = F.array_distinct(F.concat(p["r"], p["h"]))

@@ -27,9 +27,9 @@ MEDICAL_WORDS = {
     "باراسيتامول": "باراسيتامول", "اموكلاف": "أموكسيسيلين/كلافولانات",
 }
 CORRECTIONS = {
-    "lisinoprl": "lisinopril", "metformn": "metformin", "atorvastatn": "atorvastatin", "aspirn": "aspirin", "adenocarcnoma": "adenocarcinoma",
-    "chemothrapy": "chemotherapy", "myocardal": "myocardial", "infarcton": "infarction", "pneumnia": "pneumonia", "bronchits": "bronchitis",
-    "hypertnsion": "hypertension", "hypoglycmia": "hypoglycemia", "palpitatons": "palpitations",
+    "lisinoprl": "lisinopril", "atenolol": "atenolol", "metformn": "metformin", "atorvastatn": "atorvastatin", "aspirn": "aspirin", "adenocarcnoma": "adenocarcinoma", "chemothrapy": "chemotherapy", "myocardal": "myocardial",
+    "infarcton": "infarction", "pneumnia": "pneumonia", "bronchits": "bronchitis", "hypertnsion": "hypertension", "diabetes": "diabetes", "hypoglycmia": "hypoglycemia", "arrhythmia": "arrhythmia",
+    "palpitatons": "palpitations", "thrombosis": "thrombosis", "embolism": "embolism", "edema": "edema", "anemia": "anemia",
 }
 UNITS = r"(?:mg|mcg|ug|ml|iu|g|kg|mm|cm|mmol|°C|%|ملغ|ميكروغرام|مكغ|مل|جم|كجم|غرام|كيلوغرام|سم|مم|مليمول|وحدة دولية)"
 
@@ -104,6 +104,11 @@ def arabic_for_ci(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, "أإآىة", "اااي" + "ه"), f"[{SIGNS_CI}ـ]", "")
 
 
+def for_matching(c: Column) -> Column:
+    """Signs dropped, alef with hamza or madda, yaa and taa marbuta unified; punctuation, digits and spaces stay."""
+    return F.translate(F.regexp_replace(c, "[\u064b-\u0652\u0670]", ""), "أإآىة", "ااا" + "يه")
+
+
 def plain_words(c: Column) -> Column:
     """Runs of Arabic or ASCII letters and digits."""
     return F.regexp_extract_all(c, F.lit("([؀-ۿݐ-ݿa-zA-Z0-9]+)"), F.lit(1))
@@ -116,7 +121,7 @@ def cleaned(c: Column) -> Column:
 
 
 def corrected_words(c: Column, dictionary: dict[str, str] | None = None) -> Column:
-    """Each white-space separated word replaced by its entry, found in lower case."""
+    """Each white-space separated word replaced by its entry, found in lower case; an entry of itself gives its own case."""
     table = F.create_map(*(F.lit(x) for kv in (dictionary or CORRECTIONS).items() for x in kv))
     return F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(table[F.lower(w)], w)), " ")
 
@@ -196,8 +201,11 @@ def turn_line(line: str) -> str:
 
 
 def repair_direction(c: Column, force: bool = False) -> Column:
-    """Texts whose Arabic came out backwards, turned line by line; others keep their text, stripped of presentation forms."""
-    ratio = reversal_ratio(c)
+    """Texts whose Arabic came out backwards, turned line by line; others keep their text.
+
+    Presentation forms of Arabic, which are written in the order of display, show that it did.
+    """
+    ratio = F.when(c.rlike("[ﭐ-﷿ﹰ-﻾]"), 1.0).otherwise(reversal_ratio(c))
 
     @F.pandas_udf(StringType())
     def fix(s: pd.Series, r: pd.Series) -> pd.Series:

@@ -11,14 +11,30 @@ WORD = r"\p{L}\p{N}_"
 LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+#: The characters of SPACE and, but for the pair of carriage return and line feed, of LINE_END.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+LINE_ENDS = "".join(map(chr, [0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029]))
+
+
 def strip(c: Column) -> Column:
     """``c`` without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(c, f"^[{SPACE}]+", ""), rf"[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lines(c: Column) -> Column:
     """The lines of a text; a line end at the very end opens no further line, and an empty text has none."""
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, rf"(?:{LINE_END})\z", ""), LINE_END))
+    plain = F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
+    return let(F.split(plain, "\n"), without_last_blank)
+
+
+def without_last_blank(a: Column) -> Column:
+    """The lines of the joined ``a``: a blank one at its end is none."""
+    return F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+
+
+def word_count(c: Column) -> Column:
+    """How many white-space separated words a text has."""
+    return F.regexp_count(F.translate(c, SPACES, " " * len(SPACES)), F.lit("[^ ]+"))
 
 
 def words(c: Column) -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from scanloom.functions.patterns import SPACE, WORD, let, lines, strip, words
+from scanloom.functions.patterns import SPACE, WORD, let, lines, strip, without_last_blank, word_count, words
+from scanloom.session import spread
 
 # Fixed values of the rules.
 CONTROL = "​-‏‪-‮﻿"
@@ -31,6 +32,7 @@ PAGE_NUMBER = rf"^[{SPACE}]*[-–—]?[{SPACE}]*\p{{Nd}}{{1,4}}[{SPACE}]*[-–
 FOOTNOTE = rf"^[{SPACE}]*([¹²³⁴⁵⁶⁷⁸⁹]|\p{{Nd}}{{1,2}}|\(\p{{Nd}}{{1,2}}\)|\[\p{{Nd}}{{1,2}}\])[{SPACE}]+"
 SENTENCE_END = rf"[.!؟?…:؛]\"?[{SPACE}]*$"
 VALID_WORD = r"^[\x{0621}-\x{064a}a-zA-Z0-9.,;:!?()\[\]\"'«»،؛؟-]+$"
+VALID_CHARACTERS = "".join(map(chr, range(0x621, 0x64B))) + "".join(map(chr, range(0x30, 0x3A))) + "".join(map(chr, range(0x41, 0x5B))) + "".join(map(chr, range(0x61, 0x7B))) + ".,;:!?()[]\"'«»،؛؟-"
 CONFIDENCE_THRESHOLD, VALID_RATIO, HEADING_WORDS, FLOWING_WORDS, HEADER_LINES, HEADER_REPEATS, HEADER_CHARS = 0.80, 0.85, 12, 7, 6, 3, 80
 FOOTNOTE_HEADING = "\n\n---\n\n## الحواشي\n\n"
 
@@ -80,13 +82,15 @@ _ENDED = re.compile(r'[.!؟?…:؛]"?\s*$')
 def merge_lines(text: str) -> str:
     """R05 on one text: a line is appended to running text of seven words or more that has not ended."""
     out: list[str] = []
-    held = ""
+    held: list[str] = []
+    count = 0
 
     def flush() -> None:
-        nonlocal held
+        nonlocal count
         if held:
-            out.append(held)
-        held = ""
+            out.append(" ".join(held))
+            held.clear()
+        count = 0
 
     for line in map(str.strip, text.splitlines()):
         if not line:
@@ -94,11 +98,11 @@ def merge_lines(text: str) -> str:
             out.append("")
             continue
         structural = _STRUCTURE.match(line) is not None
-        if held and not structural and len(held.split()) >= FLOWING_WORDS and not _ENDED.search(held):
-            held = f"{held} {line}"
-        else:
+        # What is held has not ended, else it would have been let go.
+        if structural or count < FLOWING_WORDS:
             flush()
-            held = line
+        held.append(line)
+        count += len(line.split())
         if structural or _ENDED.search(line):
             flush()
     flush()
@@ -118,9 +122,13 @@ def merge_paragraphs(c: Column) -> Column:
     return _merged(c)
 
 
+def _no_page_numbers(a: Column) -> Column:
+    return F.filter(a, lambda x: ~x.rlike(PAGE_NUMBER))
+
+
 def drop_page_numbers(c: Column) -> Column:
     """Lines that hold a page number only are dropped."""
-    return F.array_join(F.filter(lines(c), lambda x: ~x.rlike(PAGE_NUMBER)), "\n")
+    return F.array_join(_no_page_numbers(lines(c)), "\n")
 
 
 def page_number_lines(c: Column) -> Column:
@@ -128,21 +136,28 @@ def page_number_lines(c: Column) -> Column:
     return F.size(F.filter(lines(c), lambda x: x.rlike(PAGE_NUMBER)))
 
 
-def drop_headers(c: Column) -> Column:
-    """In a text of six lines or more the first and last line are dropped wherever they repeat three times.
+def _no_headers(a: Column) -> Column:
+    """The lines of R07: in six lines or more the first and last one are dropped wherever they repeat three times; blank ones go too then."""
 
-    Blank lines go too then; a shorter text is left as it is.
-    """
     def without(a: Column, line: Column) -> Column:
         repeated = (F.size(F.filter(a, lambda x: x == line)) >= HEADER_REPEATS) & (F.length(line) < HEADER_CHARS)
         return F.when(repeated, F.filter(a, lambda x: x != line)).otherwise(a)
 
     def kept(full: Column) -> Column:
         ends = F.struct(F.try_element_at(full, F.lit(1)).alias("first"), F.try_element_at(full, F.lit(-1)).alias("last"))
-        text = let(ends, lambda e: let(without(full, e["first"]), lambda a: F.array_join(without(a, e["last"]), "\n")))
-        return F.when(F.size(full) < HEADER_LINES, c).otherwise(text)
+        return let(ends, lambda e: let(without(full, e["first"]), lambda x: without(x, e["last"])))
+
+    stripped = let(F.filter(F.transform(a, strip), lambda x: x != ""), lambda full: F.when(F.size(full) >= HEADER_LINES, kept(full)))
+    return F.when(F.size(a) < HEADER_LINES, a).otherwise(F.coalesce(stripped, a))
 
-    return let(F.filter(F.transform(lines(c), strip), lambda x: x != ""), kept)
+
+def drop_headers(c: Column) -> Column:
+    """In a text of six lines or more the first and last line are dropped wherever they repeat three times.
+
+    Blank lines go too then; a shorter text is left as it is.
+    """
+    few = F.size(F.filter(lines(c), lambda x: strip(x) != "")) < HEADER_LINES
+    return F.when(few, c).otherwise(F.array_join(_no_headers(lines(c)), "\n"))
 
 
 def strip_diacritics(c: Column) -> Column:
@@ -202,16 +217,14 @@ def uncertain_count(c: Column, confidence: Column) -> Column:
 
 
 def valid_words(c: Column) -> Column:
-    return F.size(F.filter(words(c), lambda w: w.rlike(VALID_WORD)))
+    """How many words hold nothing but the letters, digits and signs of R16: all but those of which something is left without these."""
+    return word_count(c) - word_count(F.translate(c, VALID_CHARACTERS, ""))
 
 
 def valid_ratio(c: Column) -> Column:
     """The share of words of plain Arabic or Latin letters, digits and punctuation; 0 without words."""
-    def share(w: Column) -> Column:
-        good = F.size(F.filter(w, lambda x: x.rlike(VALID_WORD)))
-        return F.when(F.size(w) > 0, good / F.size(w)).otherwise(0.0)
-
-    return let(words(c), share)
+    counts = F.struct(word_count(c).alias("all"), word_count(F.translate(c, VALID_CHARACTERS, "")).alias("other"))
+    return let(counts, lambda n: F.when(n["all"] > 0, (n["all"] - n["other"]) / n["all"]).otherwise(0.0))
 
 
 def classification(c: Column) -> Column:
@@ -226,8 +239,8 @@ def markdown_structure(c: Column) -> Column:
         return let(strip(line), lambda s: shaped(line, s))
 
     def shaped(line: Column, s: Column) -> Column:
-        n = F.size(words(s))
-        heading = (n > 0) & (n <= HEADING_WORDS) & ~s.rlike(SENTENCE_END) & ~s.startswith("#") & ~s.endswith("-")
+        few = rf"^[^{SPACE}]++(?:[{SPACE}]++[^{SPACE}]++){{0,{HEADING_WORDS - 1}}}+\z"
+        heading = (s != "") & ~s.startswith("#") & ~s.endswith("-") & s.rlike(few) & ~s.rlike(SENTENCE_END)
         bullet = rf"^[{BULLETS}][{SPACE}]+"
         return F.when(s.rlike(bullet), F.concat(F.lit("- "), F.regexp_replace(s, bullet, ""))).when(heading, F.concat(F.lit("## "), s)).otherwise(line)
 
@@ -288,7 +301,7 @@ def process_text(df: DataFrame, text: str, confidence: str | None = None, config
     on = (config or RuleConfig()).enabled
     taa = (config or RuleConfig()).taa_marbuta
     conf = F.lit(1.0) if confidence is None else F.when(F.coalesce(F.col(confidence), F.lit(0.0)) > 0, F.col(confidence)).otherwise(1.0)
-    out = df.withColumn("_t", F.col(text)).withColumn("_conf", conf)
+    out = spread(df).withColumn("_t", F.col(text)).withColumn("_conf", conf)
 
     def apply(rule: str, f) -> None:
         nonlocal out
@@ -298,11 +311,29 @@ def process_text(df: DataFrame, text: str, confidence: str | None = None, config
     t = F.col("_t")
     apply("R01", strip_control)
     apply("R02", unify_forms)
-    out = out.withColumn("pages_dropped", page_number_lines(t) if "R06" in on else F.lit(0))
-    apply("R06", drop_page_numbers)
-    apply("R07", drop_headers)
-    out = out.withColumn("_notes", footnotes(t) if "R18" in on else F.lit("")).withColumn("footnotes_count", footnote_count(t) if "R18" in on else F.lit(0))
-    apply("R18", without_footnotes)
+    # R06, R07 and R18 look at lines: the text is split once and joined once.
+    step, a = [r for r in ("R06", "R07", "R18") if r in on], F.col("_a")
+    out = out.withColumn("pages_dropped", F.lit(0)).withColumn("_notes", F.lit("")).withColumn("footnotes_count", F.lit(0))
+    if "R18" not in on:
+        out = out.withColumn("pages_dropped", page_number_lines(t) if "R06" in on else F.lit(0))
+        apply("R06", drop_page_numbers)
+        apply("R07", drop_headers)
+        step = []
+    if step:
+        out = out.withColumn("_a", lines(t))
+    for k, rule in enumerate(step):
+        if k:
+            out = out.withColumn("_a", without_last_blank(a))
+        if rule == "R06":
+            out = out.withColumn("_kept", _no_page_numbers(a)).withColumn("pages_dropped", F.size(a) - F.size("_kept")).withColumn("_a", F.col("_kept")).drop("_kept")
+        elif rule == "R07":
+            out = out.withColumn("_a", _no_headers(a))
+        else:
+            notes = F.filter(a, lambda x: x.rlike(FOOTNOTE))
+            out = out.withColumn("_n", notes).withColumn("_notes", F.array_join(F.transform("_n", strip), "\n")).withColumn("footnotes_count", F.size("_n"))
+            out = out.withColumn("_a", F.when(F.size("_n") > 0, F.filter(a, lambda x: ~x.rlike(FOOTNOTE))).otherwise(a)).drop("_n")
+    if step:
+        out = out.withColumn("_t", F.array_join("_a", "\n")).drop("_a")
     apply("R04", join_hyphenated)
     apply("R05", merge_paragraphs)
     apply("R17", markdown_structure)
@@ -320,6 +351,7 @@ def process_text(df: DataFrame, text: str, confidence: str | None = None, config
     apply("R14", isolate_markers)
     apply("R03", collapse_spaces)
     applied = F.array(*(F.lit(r) for r in ORDER if r in on)).cast("array<string>")
-    out = out.withColumn("ratio", F.round(valid_ratio(t), 4)).withColumn("classification", classification(t)).withColumn("rules_applied", applied)
+    out = out.withColumn("_r", valid_ratio(t)).withColumn("ratio", F.round("_r", 4)).withColumn("classification", F.when(F.col("_r") >= VALID_RATIO, "correct").otherwise("wrong"))
+    out = out.withColumn("rules_applied", applied).drop("_r")
     notes = F.when(F.col("_notes") != "", F.concat(F.lit(FOOTNOTE_HEADING), F.col("_notes"))).otherwise("")
     return out.withColumn("markdown", F.concat(t, notes)).drop("_t", "_conf", "_notes")

@@ -79,10 +79,19 @@ def resolve_thresholds(rows: DataFrame, limits: DataFrame, levels: Sequence[tupl
     return out.withColumn("limit", F.coalesce(*found)).drop(*drop)
 
 
-def violations(rows: DataFrame, value: str = "value", limit: str = "limit") -> DataFrame:
-    """Rows over their limit with ``severity``: 'error' beyond 1.5 times the limit, else 'warning'."""
-    over = rows.where(F.col(value) > F.col(limit))
-    return over.withColumn("severity", F.when(F.col(value) > ERROR_ABOVE * F.col(limit), "error").otherwise("warning"))
+def violations(rows: DataFrame, value: str = "value", limit: str = "limit", least: str | None = None) -> DataFrame:
+    """Rows over their limit, or under their ``least`` value, with ``bound`` ('max' or 'min') and ``severity``.
+
+    'error' beyond 1.5 times the limit or below 0.7 of the least, else
+    'warning'. A null limit or least bounds nothing; a row that breaks both
+    comes out twice.
+    """
+    over = rows.where(F.col(value) > F.col(limit)).withColumn("bound", F.lit("max"))
+    over = over.withColumn("severity", F.when(F.col(value) > ERROR_ABOVE * F.col(limit), "error").otherwise("warning"))
+    if least is None:
+        return over.drop("bound")
+    under = rows.where(F.col(value) < F.col(least)).withColumn("bound", F.lit("min"))
+    return over.unionByName(under.withColumn("severity", F.when(F.col(value) < ERROR_BELOW * F.col(least), "error").otherwise("warning")))
 
 
 def ci_passed(found: DataFrame, fail_on_warning: bool = False) -> DataFrame:

@@ -67,7 +67,7 @@ def _column(name: str, function) -> None:
 
 for _name, _function in {
     "strip_control": text_rules.strip_control, "nfkc": text_rules.unify_forms, "collapse_spaces": text_rules.collapse_spaces, "join_hyphenated": text_rules.join_hyphenated,
-    "merge_paragraphs": text_rules.merge_paragraphs, "drop_page_numbers": text_rules.drop_page_numbers, "drop_headers": text_rules.drop_headers, "normalize_ar": normalizers.basic,
+    "merge_paragraphs": text_rules.merge_paragraphs, "drop_page_numbers": text_rules.drop_page_numbers, "drop_headers": text_rules.drop_headers, "normalize_ar": normalizers.for_matching,
     "normalize_strong": normalizers.strong, "fix_direction": normalizers.repair_direction, "correct_words": normalizers.corrected_words, "mask": extraction.masked,
 }.items():
     _column(_name, _function)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import text_rules as R
 from scanloom.functions.patterns import SPACE, WORD
 from scanloom.plans import sql
-from scanloom.session import table
+from scanloom.session import spread, table
 
 # What is put around a text so that every rule has something to do.
 HEAD = "Ward sheet\n​First “note” – see ‹a›\n"
@@ -88,9 +88,9 @@ def _query(f):
 
 def clean_quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: cleaned texts judged by valid words, by language."""
-    d = noisy_documents(spark, sf_dir)
+    d = spread(noisy_documents(spark, sf_dir))
     t = R.collapse_spaces(R.unify_quotes(R.unify_punctuation(R.unify_digits(R.drop_headers(R.drop_page_numbers(R.strip_control(T())))))))
-    d = d.select("lang", t.alias("t")).select("lang", R.valid_words(F.col("t")).alias("good"), F.size(R.words(F.col("t"))).alias("n"))
+    d = d.select("lang", t.alias("t")).select("lang", R.valid_words(F.col("t")).alias("good"), R.word_count(F.col("t")).alias("n"))
     return d.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("good").alias("valid_words"), F.sum("n").alias("words"), F.sum((F.col("good") >= R.VALID_RATIO * F.col("n")).cast("int")).alias("correct_docs"))
 
 

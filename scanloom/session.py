@@ -39,16 +39,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, where it has fewer: for much work on few bytes. Large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is made only where that setting is absent (tests, local
-    runs). A checkpoint survives the loss of executors, and its consumers do
-    not recompute what produced it.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
+    local session may go without, which then gets a temporary one. A checkpoint
+    survives the loss of executors, and its consumers do not recompute what
+    produced it.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scanloom-"))
     return df.checkpoint(eager=True)
