@@ -29,7 +29,7 @@ def lines(c: Column) -> Column:
 
 def without_last_blank(a: Column) -> Column:
     """The lines of the joined ``a``: a blank one at its end is none."""
-    return F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+    return F.when(F.try_element_at(a, F.lit(-1)) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
 
 
 def word_count(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scanloom.functions.patterns import LINE_END, SPACE
+from scanloom.functions.patterns import LINE_END, SPACE, WORD  # noqa: F401
 
 
 def q(text: str) -> str:
