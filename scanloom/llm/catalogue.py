@@ -78,6 +78,12 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached by temperature, at the entropy of the weights or the repetition limit."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return reached_shares(mix_sources(table(spark, sf_dir, "documents"), targets, by_temperature=True), targets)
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
@@ -99,6 +105,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_temperature": p9_temperature,
     "p10_pieces": p10_pieces,
 }
 SQL: dict[str, str] = {}

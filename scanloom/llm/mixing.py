@@ -72,38 +72,60 @@ def temperature_shares(tokens: list[int], target_entropy: float, repeats: list[i
 def plan_mix(rows: list[tuple[str, float, int, int]], total_tokens: int | None = None) -> list[Plan]:
     """Budgets for (source, weight, max_repeats, tokens) rows.
 
-    Weights are normalised over the sources that have tokens. Without
-    ``total_tokens`` the total is the largest that meets every weight within the
-    repetition caps. With it, the weights are met if the caps allow; else the
-    shares lie between the natural ones and the weights, at the largest exponent
-    that keeps the caps, and a total beyond all repetitions is cut to what there is.
+    Weights are normalised over the sources that have tokens. Shares are the
+    natural ones pulled towards the weights, at the largest exponent, found by
+    bisection, that keeps the repetition caps; at 1 the weights are met. Without
+    ``total_tokens`` the total is the largest at which they are; a total beyond
+    all repetitions is cut to what there is.
     """
-    usable = [r for r in rows if r[1] and r[1] > 0 and r[2] and r[2] > 0 and r[3]]
+    usable = _usable(rows)
     if not usable:
-        return [Plan(s, w or 0.0, 0.0, n or 0, r or 0, 0, 0) for s, w, r, n in rows]
+        return _budgets(rows, [], [], 0)
     norm = sum(r[1] for r in usable)
     goal = [r[1] / norm for r in usable]
     tokens, repeats = [r[3] for r in usable], [r[2] for r in usable]
-    if total_tokens is None:
-        total = min(r * n / g for r, n, g in zip(repeats, tokens, goal))
-        shares = goal
-    else:
-        total = min(total_tokens, sum(r * n for r, n in zip(repeats, tokens)))
-
-        def fits(shares: list[float]) -> bool:
-            return all(s * total <= r * n * (1 + 1e-12) for s, r, n in zip(shares, repeats, tokens))
-
-        shares = _tilted(tokens, goal, bisect_exponent(lambda e: fits(_tilted(tokens, goal, e))))
-        if not fits(shares):  # even the natural shares exceed a cap: fill the capped sources, spread the rest
-            budget, open_, left = {}, set(range(len(usable))), float(total)
-            while open_:
-                w = sum(goal[k] for k in open_)
-                full = [k for k in open_ if goal[k] / w * left >= repeats[k] * tokens[k]]
-                for k in full or list(open_):
-                    budget[k] = min(repeats[k] * tokens[k], goal[k] / w * left)
-                open_ -= set(full or open_)
-                left = total - sum(budget.values())
-            shares = [budget[k] / total for k in range(len(usable))]
+    total = min(r * n / g for r, n, g in zip(repeats, tokens, goal)) if total_tokens is None else min(total_tokens, sum(r * n for r, n in zip(repeats, tokens)))
+
+    def fits(shares: list[float]) -> bool:
+        return all(s * total <= r * n * (1 + 1e-12) for s, r, n in zip(shares, repeats, tokens))
+
+    shares = _tilted(tokens, goal, bisect_exponent(lambda e: fits(_tilted(tokens, goal, e))))
+    if not fits(shares):  # even the natural shares exceed a cap: fill the capped sources, spread the rest
+        budget, open_, left = {}, set(range(len(usable))), float(total)
+        while open_:
+            w = sum(goal[k] for k in open_)
+            full = [k for k in open_ if goal[k] / w * left >= repeats[k] * tokens[k]]
+            for k in full or list(open_):
+                budget[k] = min(repeats[k] * tokens[k], goal[k] / w * left)
+            open_ -= set(full or open_)
+            left = total - sum(budget.values())
+        shares = [budget[k] / total for k in range(len(usable))]
+    return _budgets(rows, usable, shares, total)
+
+
+def plan_temperature(rows: list[tuple[str, float, int, int]], target_entropy: float | None = None, total_tokens: int | None = None) -> list[Plan]:
+    """Budgets by temperature: token shares raised to the exponent at which they reach ``target_entropy`` or a repetition limit.
+
+    The entropy aimed at is that of the weights by default, the total the
+    tokens there are. Weights say how even the mix is to be, not which source
+    gets how much.
+    """
+    usable = _usable(rows)
+    if not usable:
+        return _budgets(rows, [], [], 0)
+    norm = sum(r[1] for r in usable)
+    tokens, repeats = [r[3] for r in usable], [r[2] for r in usable]
+    total = sum(tokens) if total_tokens is None else min(total_tokens, sum(r * n for r, n in zip(repeats, tokens)))
+    aim = entropy([r[1] / norm for r in usable]) if target_entropy is None else target_entropy
+    _, shares = temperature_shares(tokens, aim, repeats, total)
+    return _budgets(rows, usable, shares, total)
+
+
+def _usable(rows: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+    return [r for r in rows if r[1] and r[1] > 0 and r[2] and r[2] > 0 and r[3]]
+
+
+def _budgets(rows: list[tuple[str, float, int, int]], usable: list[tuple[str, float, int, int]], shares: list[float], total: float) -> list[Plan]:
     found = {}
     for (source, weight, cap, n), share in zip(usable, shares):
         budget = min(int(share * total + 0.5), cap * n)
@@ -116,24 +138,26 @@ def _sized(docs: DataFrame, key: str, source: str, text: str, path: str | None)
     return sized.where("n_tokens > 0")
 
 
-def source_budgets(sized: DataFrame, targets: DataFrame, source: str, total_tokens: int | None) -> list[Plan]:
+def source_budgets(sized: DataFrame, targets: DataFrame, source: str, total_tokens: int | None, by_temperature: bool = False) -> list[Plan]:
     """The plan of each target; gathers one row per target, of which there may be ``MAX_TARGETS``."""
     goal = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("cap"))
     have = sized.groupBy(F.col(source).alias("source")).agg(F.sum("n_tokens").alias("tokens"))
     rows = goal.join(have, "source", "left").orderBy("source").limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
-    return plan_mix([(r["source"], r["weight"], r["cap"], r["tokens"] or 0) for r in rows], total_tokens)
+    have_all = [(r["source"], r["weight"], r["cap"], r["tokens"] or 0) for r in rows]
+    return plan_temperature(have_all, None, total_tokens) if by_temperature else plan_mix(have_all, total_tokens)
 
 
 def mix_sources(
     docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
-    total_tokens: int | None = None, seed: int = 0, path: str | None = None,
+    total_tokens: int | None = None, seed: int = 0, path: str | None = None, by_temperature: bool = False,
 ) -> DataFrame:
     """One row per use of a document in the mix: (``key``, ``source``, ``copy`` from 1, ``n_tokens``, ``place``).
 
     ``targets`` has source, weight and max_repeats; sizes are in tokens of the
-    vocabulary at ``path``. Documents of null or other sources, and those
+    vocabulary at ``path``. Shares are those of ``plan_mix`` or, ``by_temperature``,
+    of ``plan_temperature``. Documents of null or other sources, and those
     without tokens, are left out, as are null or non-positive weights. Copies
     are whole passes over a source and, last, a part of one pass: the head of a
     permutation by hash, up to the budget. ``place`` orders each pass at random.
@@ -141,7 +165,7 @@ def mix_sources(
     shuffled are (key, source, size) rows of the last pass.
     """
     sized = materialise(_sized(docs, key, source, text, path))
-    plans = [p for p in source_budgets(sized, targets, source, total_tokens) if p.passes or p.rest]
+    plans = [p for p in source_budgets(sized, targets, source, total_tokens, by_temperature) if p.passes or p.rest]
     schema = "source string, passes int, rest bigint"
     plan = docs.sparkSession.createDataFrame([(p.source, p.passes, p.rest) for p in plans], schema).withColumnRenamed("source", "_s")
     rows = sized.withColumnRenamed(source, "_src").join(F.broadcast(plan), F.col("_src") == F.col("_s")).drop("_s")  # at most MAX_TARGETS rows

@@ -25,6 +25,8 @@ TYPES = ("email", "phone", "id_number", "address", "name")
 
 #: Texts that the trees are fitted on, at most, and most usual words that are known to the features.
 FIT_TEXTS, KNOWN_WORDS = 8_000, 20_000
+#: Words of a name, at most.
+NAME_WORDS = 7
 
 # Words that come before or after personal values and others.
 PHONE_CUES = frozenset("mobile ring call on from phone tel telephone fax الجوال للاستفسار هاتف الرقم موبايل".split())
@@ -41,7 +43,7 @@ _BREAK = r"(?:[-­¬‐]\s*\n\s*[a-z]+)?"
 _CAP = rf"[A-Z{''.join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)}]"
 # Patterns begin with a plain character or digit, so that the scan skips to it; what may stand before is looked up afterwards.
 _AT = re.compile(r"@|\(at\)|\[at\]", re.I)
-_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*\s?\Z")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"\s?[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*")
 _DIGITS = re.compile(r"\d(?:[\d/]|[-.](?=\d)|\)\s?|[ \n](?=[\d(]))*\d(?:\s*ext\.?\s*\d{1,5})?(?![\w/])")
 _NUMBER_HEAD = re.compile(r"(?:[A-Z]{1,4}[-/]?|[+(])\Z")
@@ -51,21 +53,46 @@ _ARABIC = re.compile(rf"{ARABIC_STREETS}\s+(?:[ء-ي1]+\s+){{1,3}}\d{{1,4}}،\s+
 _CAPITALS = re.compile(rf"(?:{_CAP}\.|{_CAP}[\w@|]+{_BREAK})(?:,?\s+(?:{_CAP}\.|{_CAP}[\w@|]+{_BREAK}))+(?![\w@])")
 _CAPITAL = re.compile(rf"{_CAP}\.|{_CAP}[\w@|]+{_BREAK}")
 _ARABIC_CUE = re.compile(r"(?:السيدة|السيد|الدكتورة|الدكتور|قريبه|قريبته|باسم|التوقيع:|Signed:|Dr\.|Nurse|daughter|son|wife|husband|mother|father|sister|brother|kin\s+is|belongs\s+to)(?![ء-يa-z])\s*(?=[ء-ي])|carer\s+\(\s*(?=[ء-ي])")
-_ARABIC_RUN = re.compile(r"[ء-ي1ـ٥]+(?:\s+[ء-ي1ـ٥]+){1,4}")
+_ARABIC_RUN = re.compile(rf"[ء-ي1ـ٥]+(?:\s+[ء-ي1ـ٥]+){{1,{NAME_WORDS}}}")
 _CALLED = re.compile(r"phoned|asked\s+for|rang\b|called\b")
-_ARABIC_TAIL = re.compile(r"[ء-ي1ـ٥]+(?:\s+[ء-ي1ـ٥]+){1,3}\s+\Z")
 _ARABIC_WORD = re.compile(r"[ء-ي1ـ٥]+")
 _WORD = re.compile(r"[\w@|]+")
 
 
+def _local_start(text: str, at: int) -> int | None:
+    """Where the part of an address before ``at`` begins, however long it is; None if there is none."""
+    end = at - 1 if at and text[at - 1].isspace() else at
+    start = end
+    while start and text[start - 1] in _LOCAL:
+        start -= 1
+    while start < end and text[start] in "._%+-":
+        start += 1
+    return start if start < end else None
+
+
+def _arabic_before(text: str, at: int, most: int) -> list[tuple[int, int]]:
+    """Spans of the up to ``most`` Arabic words that end, with white space, before ``at``."""
+    spans: list[tuple[int, int]] = []
+    while at and text[at - 1].isspace() and len(spans) < most:
+        while at and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at and _ARABIC_WORD.fullmatch(text[at - 1]):
+            at -= 1
+        if at == end:
+            break
+        spans.append((at, end))
+    return spans[::-1]
+
+
 def propose(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of every span that may be a personal value."""
     out = []
     for m in _AT.finditer(text):
-        left = _LOCAL.search(text[max(0, m.start() - 80) : m.start()])
+        start = _local_start(text, m.start())
         right = _DOMAIN.match(text, m.end())
-        if left and right:
-            out.append((m.start() - len(left[0]), right.end(), "email"))
+        if start is not None and right:
+            out.append((start, right.end(), "email"))
     for m in _DIGITS.finditer(text):
         if m.end() - m.start() < 7 or sum(c.isdigit() for c in m[0]) < 7:
             continue
@@ -88,7 +115,7 @@ def propose(text: str) -> list[tuple[int, int, str]]:
             continue
         spans = [(t.start() + m.start(), t.end() + m.start()) for t in _CAPITAL.finditer(m[0])]
         for i in range(len(spans)):
-            for j in range(i + 1, min(i + 3, len(spans))):
+            for j in range(i + 1, min(i + NAME_WORDS, len(spans))):
                 if text[spans[j][0] : spans[j][1]][-1] != ".":
                     out.append((spans[i][0], spans[j][1], "name"))
     for m in _ARABIC_CUE.finditer(text):
@@ -97,13 +124,10 @@ def propose(text: str) -> list[tuple[int, int, str]]:
         run = _ARABIC_RUN.match(text, m.end())
         if run:
             spans = [t.span() for t in _ARABIC_WORD.finditer(text, run.start(), run.end())]
-            out += [(spans[0][0], spans[j][1], "name") for j in range(1, min(4, len(spans)))]
+            out += [(spans[0][0], spans[j][1], "name") for j in range(1, min(NAME_WORDS, len(spans)))]
     for m in _CALLED.finditer(text):
-        base = max(0, m.start() - 70)
-        tail = _ARABIC_TAIL.search(text[base : m.start()])
-        if tail:
-            spans = [t.span() for t in _ARABIC_WORD.finditer(text, base + tail.start(), base + tail.end())]
-            out += [(spans[i][0], spans[-1][1], "name") for i in range(max(0, len(spans) - 4), len(spans) - 1)]
+        spans = _arabic_before(text, m.start(), NAME_WORDS)
+        out += [(spans[i][0], spans[-1][1], "name") for i in range(len(spans) - 1)]
     return list(dict.fromkeys(out))
 
 

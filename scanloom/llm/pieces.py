@@ -146,6 +146,9 @@ def split_oversized(
     ``max_tokens`` counts. Rows stay in place but for the join with ``limits``.
     """
     path = path or tokenizer_path()
+    wide = limits.where("2 * overlap_tokens > max_tokens and max_tokens > 0").select("kind").first()
+    if wide:
+        raise ValueError(f"the overlap of {wide['kind']} is above half of its limit")
     small = limits.where("max_tokens > 0").groupBy(F.col("kind").alias("_kind")).agg(F.max_by(F.struct("max_tokens", "overlap_tokens"), "max_tokens").alias("_l"))
     rows = docs.select(F.col(key), F.col(kind).alias("_kind"), F.col(text).cast("string").alias("_text")).where("_text is not null and _text != ''")
     rows = rows.join(small, "_kind", "left").select(key, "_text", F.col("_l.max_tokens").cast("int").alias("_m"), F.coalesce("_l.overlap_tokens", F.lit(0)).cast("int").alias("_o"))
