@@ -186,7 +186,7 @@ def test_fields_of_one_table_are_kept_apart(spark):
 
 
 def test_temperature_meets_the_entropy_or_stops_at_the_limit():
-    rows = [("a", 0.5, 9, 9000), ("b", 0.3, 9, 900), ("c", 0.2, 9, 100)]
+    rows = [("a", 0.5, 99, 9000), ("b", 0.3, 99, 900), ("c", 0.2, 99, 100)]
     shares = [p.share for p in plan_temperature(rows)]
     assert entropy(shares) == pytest.approx(entropy([0.5, 0.3, 0.2]), abs=1e-6) and shares[0] > shares[1] > shares[2]
     capped = plan_temperature([(s, w, 1, n) for s, w, _, n in rows])
