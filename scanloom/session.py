@@ -40,7 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, where it has fewer: for much work on few bytes. Large inputs are left as they are."""
+    """``df`` in as many partitions as there are cores, where it has fewer: for much work on few bytes. Large inputs and streams are left as they are."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
