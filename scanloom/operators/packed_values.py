@@ -133,10 +133,11 @@ def split_packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     wide[number_1 & begins] = 2
     wide[number_2 & begins] = 3
 
-    # Bullets * and - stand at the start of a line, before a space.
-    line_start = row_first | _prev(data == 10)
-    for _ in range(4):
-        line_start |= _prev(line_start & (data == 32)) & ~row_first
+    # Bullets * and - stand at the start of a line, after any number of spaces and before one.
+    at = np.arange(len(data))
+    begun = np.maximum.accumulate(np.where(row_first | _prev(data == 10), at, -1))
+    solid = np.maximum.accumulate(np.where(data != 32, at, -1))
+    line_start = np.concatenate(([-1], solid[:-1])) < begun
     bullet = np.isin(data, np.frombuffer(LINE_BULLETS, np.uint8)) & line_start & _next(data == 32) & ~row_last
     wide[bullet] = 1
     wide[quoted] = 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,11 +153,16 @@ def search(df: DataFrame, key: str, haystack: Column, diagnosis: Column, query:
     return found.orderBy(F.desc("score"), key).limit(k)
 
 
+#: Queries of one block of a vector search.
+QUERIES_AT_ONCE = 4096
+
+
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(``query``, ``key``, ``similarity``): the k rows of the greatest cosine for each query row; equal ones by key.
 
     Each partition of the vectors keeps the k best of a query before they are
-    shuffled. The queries are sent to all tasks and so must be few.
+    shuffled. About ``QUERIES_AT_ONCE`` queries are sent to all tasks at a
+    time; more of them are taken in as many blocks, each against all rows.
     """
 
     def dot(a: Column, b: Column) -> Column:
@@ -166,7 +173,10 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vector: st
 
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_nq"))
     v = vectors.select(key, F.col(vector).alias("_v"), norm(F.col(vector)).alias("_nv"))
-    scored = v.crossJoin(F.broadcast(q)).select("query", key, F.round(dot(F.col("_q"), F.col("_v")) / (F.col("_nq") * F.col("_nv")), 9).alias("similarity"))
+    blocks = max(1, -(-q.count() // QUERIES_AT_ONCE))
+    parts = [q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) for i in range(blocks)]
+    met = reduce(DataFrame.unionByName, (v.crossJoin(F.broadcast(part)) for part in parts))  # a block of queries against all rows
+    scored = met.select("query", key, F.round(dot(F.col("_q"), F.col("_v")) / (F.col("_nq") * F.col("_nv")), 9).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -91,3 +91,8 @@ def test_operator_nulls_empty_table_and_clashing_columns(spark):
 def test_bytes_are_kept():
     text = "É; ⅷ | 日本，語 ; 🙂"
     assert "".join(rows_of([text])[0]) == re.sub(r"\s*[;|]\s*", "", text)
+
+
+def test_bullets_after_any_number_of_spaces():
+    _, position, items = split_packed(pa.array(["* one\n" + " " * 9 + "* two\n    - three", "a *b\nc"], pa.string()))
+    assert items.to_pylist()[:3] == ["one", "two", "three"] and list(position)[:3] == [1, 2, 3] and "a *b" in items.to_pylist()
