@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,30 +48,87 @@ def pair_confidence(field: Column, template: Column, turned: Column) -> Column:
     return F.round(0.6 * field + 0.3 * template + 0.1 * F.when(turned, 0.5).otherwise(1.0), 4)
 
 
-def greedy_unique(df: DataFrame, block: str, order: str, text: str, threshold: float = 85.0) -> DataFrame:
-    """``df`` with ``kept`` and ``duplicate_of``: in order, a row is a duplicate of the first kept row that is similar enough.
+def _similar(left: list[str], right: list[str], threshold: float) -> list[tuple[int, int]]:
+    """Places of the pairs whose ``ratio`` is at least ``threshold``.
 
-    The order decides, so the rows of a block are one fold: choose blocks that
-    hold all candidates of a row and stay small.
+    Two texts have no longer common subsequence than characters in common, each
+    as often as both hold it; those are counted for all pairs at once, as products of the rows of
+    one column for the first, second, ... occurrence of a character.
     """
+    columns: dict[str, int] = {}
+
+    def coded(texts: list[str]) -> list[list[int]]:
+        out = []
+        for t in texts:
+            seen: dict[str, int] = {}
+            row = []
+            for c in t:
+                seen[c] = seen.get(c, 0) + 1
+                row.append(columns.setdefault(f"{c}{seen[c]}", len(columns)))
+            out.append(row)
+        return out
+
+    def matrix(rows: list[list[int]]) -> np.ndarray:
+        m = np.zeros((len(rows), len(columns)), "float32")
+        m[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([k for r in rows for k in r], "int64")] = 1
+        return m
+
+    x, y = coded(left), coded(right)
+    many = matrix(y).T
+    n, m = np.array([len(r) for r in x], "float64"), np.array([len(r) for r in y], "float64")
+    found = []
+    for at in range(0, len(x), 256):
+        common = matrix(x[at : at + 256]) @ many
+        i, j = np.nonzero(200.0 * common >= threshold * (n[at : at + 256, None] + m))
+        found += [(at + p, q) for p, q in zip(i.tolist(), j.tolist()) if ratio(left[at + p], right[q]) >= threshold]
+    return found
+
+
+def similar_pairs(rows: DataFrame, group: str, number: str, text: str, threshold: float) -> DataFrame:
+    """(``group``, ``a``, ``b``), smaller number first: the pairs of a group whose ``ratio`` is at least ``threshold``. Large groups are compared in blocks."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
+        one, two = pdf[pdf["_part"] == lo], pdf[pdf["_part"] == hi]
+        if not len(one) or not len(two):
+            return pd.DataFrame({group: [], "a": [], "b": []})
+        places = _similar(one[text].tolist(), two[text].tolist(), threshold)
+        x, y = one[number].to_numpy()[[i for i, _ in places]], two[number].to_numpy()[[j for _, j in places]]
+        out = pd.DataFrame({group: pdf[group].iloc[0], "a": np.minimum(x, y), "b": np.maximum(x, y)})
+        out = out[out["a"] < out["b"]]
+        return out.drop_duplicates() if lo == hi else out
+
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1")
+    spread = pair_blocks(rows.select(group, number, text), [group], F.col(number), sizes)
+    keys = [group, "_lo", "_hi"]
+    # Much work on few bytes: a fixed number of partitions, which isn't made smaller.
+    spread = spread.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+    return spread.groupBy(*keys).applyInPandas(compare, f"{group} string, a bigint, b bigint")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        kept: list[tuple] = []
-        of = []
-        for key, t in zip(rows[order], rows[text]):
-            t = t or ""
-            hit = next((k for k, u in kept if 2 * min(len(t), len(u)) * 100 >= threshold * (len(t) + len(u)) and ratio(t, u) >= threshold), None)
-            of.append(hit)
-            if hit is None:
-                kept.append((key, t))
-        rows = rows.copy()
-        rows["duplicate_of"] = pd.array(of, dtype="Int64")
-        rows["kept"] = [h is None for h in of]
-        return rows
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "duplicate_of bigint, kept boolean"])
-    return df.groupBy(block).applyInPandas(fold, schema)
+def greedy_unique(df: DataFrame, block: str, order: str, text: str, threshold: float = 85.0) -> DataFrame:
+    """``df`` with ``kept`` and ``duplicate_of``: in order, a row is a duplicate of the first kept row that is similar enough; equal ones in order are taken by text.
+
+    All pairs of a block are compared, in parts by many tasks. The order decides
+    then among the similar pairs of a block, which are one fold.
+    """
+
+    def fold(pairs: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs.sort_values(["b", "a"])
+        of: dict[int, int] = {}
+        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+            if b not in of and a not in of:
+                of[b] = a
+        return pd.DataFrame({"_g": pairs["_g"].iloc[0], "_n": list(of.keys()), "_of": list(of.values())})
+
+    g = F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit(""))
+    t = F.coalesce(F.col(text), F.lit(""))
+    numbered = df.select("*", g.alias("_g"), t.alias("_t")).withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(F.col(order).asc_nulls_last(), "_t")).cast("bigint"))
+    rows = materialise(numbered)
+    of = similar_pairs(rows, "_g", "_n", "_t", threshold).groupBy("_g").applyInPandas(fold, "_g string, _n bigint, _of bigint")
+    first = rows.select("_g", F.col("_n").alias("_of"), F.col(order).cast("bigint").alias("duplicate_of"))
+    hits = of.join(first, ["_g", "_of"])
+    return rows.join(hits, ["_g", "_n"], "left").select(*df.columns, "duplicate_of", F.col("_of").isNull().alias("kept"))
 
 
 def greedy_clusters(df: DataFrame, block: str, order: str, bits: str, threshold: int = 5) -> DataFrame:
