@@ -48,14 +48,64 @@ def pair_confidence(field: Column, template: Column, turned: Column) -> Column:
     return F.round(0.6 * field + 0.3 * template + 0.1 * F.when(turned, 0.5).otherwise(1.0), 4)
 
 
+#: Pairs whose common subsequences are computed at once, and the longest text for which they are.
+PAIRS_AT_ONCE, LONGEST = 4096, 256
+#: Texts of one part of a large group.
+TEXTS_AT_ONCE = 5000
+
+
+def _common_lengths(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``common_length`` of the pairs (left[i], right[j]), by bits of 64-bit words for all pairs at once."""
+    alphabet: dict[str, int] = {}
+    used, at = np.unique(i, return_inverse=True)
+    other, to = np.unique(j, return_inverse=True)
+    a, b = [left[k] for k in used], [right[k] for k in other]
+    codes = np.zeros((len(b), max(map(len, b), default=0)), "int64")  # 0 is no character
+    for row, t in enumerate(b):
+        codes[row, : len(t)] = [alphabet.setdefault(c, len(alphabet) + 1) for c in t]
+    words = max(1, -(-max(map(len, a), default=0) // 64))
+    masks = np.zeros((len(a), len(alphabet) + 1, words), "uint64")
+    full = np.zeros((len(a), words), "uint64")
+    for row, t in enumerate(a):
+        bits: dict[int, int] = {}
+        for k, c in enumerate(t):
+            if c in alphabet:
+                bits[alphabet[c]] = bits.get(alphabet[c], 0) | 1 << k
+        for c, v in [*bits.items(), (-1, (1 << len(t)) - 1)]:
+            for w in range(words):
+                part = v >> 64 * w & 2**64 - 1
+                if c < 0:
+                    full[row, w] = part
+                else:
+                    masks[row, c, w] = part
+    s = [full[at, w].copy() for w in range(words)]
+    one = np.uint64(1)
+    for k in range(codes.shape[1]):
+        c = codes[to, k]
+        carry = None
+        for w in range(words):
+            m = masks[at, c, w]
+            u = s[w] & m
+            total = s[w] + u
+            over = total < u
+            if carry is not None:
+                total = total + carry
+                over |= (total == 0) & (carry == one)
+            carry = over.astype("uint64")
+            s[w] = total | (s[w] & ~u)
+    rest = sum(np.bitwise_count(s[w] & full[at, w]).astype("int64") for w in range(words))
+    return np.array([len(t) for t in a], "int64")[at] - rest
+
+
 def _similar(left: list[str], right: list[str], threshold: float) -> list[tuple[int, int]]:
     """Places of the pairs whose ``ratio`` is at least ``threshold``.
 
     Two texts have no longer common subsequence than characters in common, each
-    as often as both hold it; those are counted for all pairs at once, as products of the rows of
-    one column for the first, second, ... occurrence of a character.
+    as often as both hold it; those are counted for all pairs at once, as
+    products of the rows of one column for the first, second, ... occurrence of
+    a character. Only the pairs that may reach the threshold are looked at.
     """
-    columns: dict[str, int] = {}
+    columns: dict[tuple[str, int], int] = {}
 
     def coded(texts: list[str]) -> list[list[int]]:
         out = []
@@ -63,8 +113,8 @@ def _similar(left: list[str], right: list[str], threshold: float) -> list[tuple[
             seen: dict[str, int] = {}
             row = []
             for c in t:
-                seen[c] = seen.get(c, 0) + 1
-                row.append(columns.setdefault(f"{c}{seen[c]}", len(columns)))
+                n = seen[c] = seen.get(c, 0) + 1
+                row.append(columns.setdefault((c, n), len(columns)))
             out.append(row)
         return out
 
@@ -73,14 +123,31 @@ def _similar(left: list[str], right: list[str], threshold: float) -> list[tuple[
         m[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([k for r in rows for k in r], "int64")] = 1
         return m
 
-    x, y = coded(left), coded(right)
-    many = matrix(y).T
+    one, two = (sorted(range(len(t)), key=lambda k, t=t: len(t[k])) for t in (left, right))
+    x, y = coded([left[k] for k in one]), coded([right[k] for k in two])
+    many = matrix(y)
     n, m = np.array([len(r) for r in x], "float64"), np.array([len(r) for r in y], "float64")
-    found = []
-    for at in range(0, len(x), 256):
-        common = matrix(x[at : at + 256]) @ many
-        i, j = np.nonzero(200.0 * common >= threshold * (n[at : at + 256, None] + m))
-        found += [(at + p, q) for p, q in zip(i.tolist(), j.tolist()) if ratio(left[at + p], right[q]) >= threshold]
+    one, two = np.array(one, "int64"), np.array(two, "int64")
+    maybe: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(x), 128):
+        part = n[at : at + 128]
+        near = [200 * np.minimum(e, m) >= threshold * (e + m) for e in (part[0], part[-1])]
+        ok = np.flatnonzero(near[0] | near[1] | ((m >= part[0]) & (m <= part[-1])))
+        if len(ok):
+            low, high = ok[0], ok[-1] + 1
+            common = matrix(x[at : at + 128]) @ many[low:high].T
+            p, q = np.nonzero(common >= (threshold / 200 - 1e-5) * (part[:, None] + m[None, low:high]).astype("float32"))
+            maybe.append((at + p, low + q))
+    found: list[tuple[int, int]] = []
+    p, q = (np.concatenate([v[k] for v in maybe]) if maybe else np.zeros(0, "int64") for k in range(2))
+    for k in range(0, len(p), PAIRS_AT_ONCE):
+        f, g = p[k : k + PAIRS_AT_ONCE], q[k : k + PAIRS_AT_ONCE]
+        i, j, total = one[f], two[g], n[f] + m[g]
+        if max(n[f].max(), m[g].max()) > LONGEST:
+            ok = np.array([ratio(left[c], right[d]) >= threshold for c, d in zip(i.tolist(), j.tolist())])
+        else:
+            ok = np.where(total > 0, 200.0 * _common_lengths(left, right, i, j) / np.maximum(total, 1), 100.0) >= threshold
+        found += list(zip(i[ok].tolist(), j[ok].tolist()))
     return found
 
 
@@ -99,7 +166,7 @@ def similar_pairs(rows: DataFrame, group: str, number: str, text: str, threshold
         return out.drop_duplicates() if lo == hi else out
 
     sizes = rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1")
-    spread = pair_blocks(rows.select(group, number, text), [group], F.col(number), sizes)
+    spread = pair_blocks(rows.select(group, number, text), [group], F.col(number), sizes, TEXTS_AT_ONCE)
     keys = [group, "_lo", "_hi"]
     # Much work on few bytes: a fixed number of partitions, which isn't made smaller.
     spread = spread.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -1,14 +1,15 @@
 from __future__ import annotations
 
 import random
-from functools import partial
 
-from scanloom.functions.metrics import ratio
+import numpy as np
+
+from scanloom.functions.metrics import common_length, ratio
 from scanloom.operators import records as C
 
 
 def test_greedy_unique_in_blocks_is_the_plain_fold(spark, monkeypatch):
-    monkeypatch.setattr(C, "pair_blocks", partial(C.pair_blocks, block_rows=20))
+    monkeypatch.setattr(C, "TEXTS_AT_ONCE", 20)
     random.seed(4)
     words = ["acute otitis", "knee", "فقر الدم", "mild asthma; ", "tonsillitis", "x" * 70, "burn\n"]
     text = lambda: random.choice([None, "", "aaa", " ".join(random.choices(words, k=random.randrange(1, 4)))])
@@ -26,3 +27,10 @@ def test_greedy_unique_in_blocks_is_the_plain_fold(spark, monkeypatch):
     bare = lambda x: sorted(((g, i, t or "", d, k) for g, i, t, d, k in x), key=str)
     assert bare(got) == bare(want) and len({r[3] for r in got}) > 10
     assert [r[2] for r in got if r[0] == "c" and r[4]] == ["knee joint a"]
+
+
+def test_common_lengths_of_many_pairs():
+    random.seed(1)
+    texts = ["".join(random.choices("abc؟", k=random.randrange(200))) for _ in range(30)] + ["", "x" * 64, "x" * 65, "x" * 128]
+    i, j = np.array([(a, b) for a in range(len(texts)) for b in range(len(texts))]).T
+    assert C._common_lengths(texts, texts, i, j).tolist() == [common_length(texts[a], texts[b]) for a, b in zip(i, j)]
